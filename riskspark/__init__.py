@@ -1 +1 @@
-
+"""A PySpark-native engine for supply-chain disruption intelligence and corpus preparation."""

@@ -1,22 +1,24 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core, with their SQL. Modules of this package register theirs on import."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.timestamps import normalise_timestamps, utc_text
-from ..session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    moments = normalise_timestamps(table(spark, d, "corpus_records"), table(spark, d, "feed_sources"))
-    return moments.select("record_id", utc_text(F.col("epoch_s")).alias("published_utc"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
 
 
-QUERIES["p6_found"] = p6_found
+from . import q_relevance, q_risk, q_text, q_time, q_vectors  # noqa: E402,F401
