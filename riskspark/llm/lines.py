@@ -137,6 +137,6 @@ def own_lines(articles: DataFrame, *, threshold: int = 3, step: str = "own-lines
     store = LineCounts(articles.sparkSession, threshold=threshold)
     store.merge(articles)
     site = store.found().groupBy("article_id").agg(F.collect_list("line_no").alias("site"))
-    bodies = articles.where(F.col("clean_body").isNotNull() & (F.trim("clean_body") != "")).select("article_id", "source", "clean_body").dropDuplicates(["article_id"])
+    bodies = articles.where(F.col("clean_body").isNotNull() & F.col("clean_body").rlike(r"\S")).select("article_id", "source", "clean_body").dropDuplicates(["article_id"])
     none = F.array().cast("array<int>")
     return bodies.join(site, "article_id", "left").select("article_id", "source", F.split("clean_body", "\n").alias("lines"), F.coalesce("site", none).alias("site"))
