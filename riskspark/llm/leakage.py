@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 RUN, RADIUS, BITS = 12, 3, 64
 WIDE_BITS, WIDE_RADIUS = 128, 50
-RARE = 4.0  # least weight of a rare word: in fewer than 1 of 55 documents
+RARE = 0.9  # least weight of a rare word: in fewer than 2 of 5 documents
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|section|article|pre|hr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->", re.I | re.S)
 _WRAP = re.compile(r"[-‐‑­]\s*\n[\s>|*]*")
@@ -103,8 +103,10 @@ class Items:
         wide = np.stack([_signs(w, WIDE_BITS) for w in self.vocabulary]).astype(np.float32) if self.vocabulary else np.zeros((n, WIDE_BITS), np.float32)
         self.wide = wide * self.weight[:, None] if self.vocabulary else wide
         self.runs = [{tuple(ws[i : i + RUN]) for i in range(len(ws) - RUN + 1)} for ws in self.words]
-        self.scarce = self.weight >= RARE if self.vocabulary else np.zeros(n, dtype=bool)
-        self.rare = [{w for w in ws if weight.get(w, default) >= RARE} for ws in self.words]
+        # An item's rare words are the rarer half of its words: a share, so that it holds however often items leak.
+        self.rare = [self._rarer(set(ws), weight, default) for ws in self.words]
+        every = set().union(*self.rare) if self.rare else set()
+        self.scarce = np.array([w in every for w in self.vocabulary]) if self.vocabulary else np.zeros(n, dtype=bool)
         prints, owner = [], []
         for k, ws in enumerate(self.words):
             if len(ws) >= RUN:
@@ -124,6 +126,12 @@ class Items:
         self.whole = np.stack([self._whole(ws) for ws in self.words]) if self.words else np.zeros((0, WIDE_BITS // 64), np.uint64)
         self.size_of = np.array([min(self.sizes, key=lambda s: abs(math.log(s / max(1, n)))) for n in lengths]) if len(lengths) else np.zeros(0)
 
+    @staticmethod
+    def _rarer(words: set[str], weight: dict[str, float], default: float) -> set[str]:
+        own = {w: weight.get(w, default) for w in words}
+        middle = sorted(own.values())[len(own) // 2]
+        return {w for w, x in own.items() if x >= max(middle, RARE)}
+
     def _whole(self, ws: list[str]) -> np.ndarray:
         return _fingerprints(self.wide[[self.code[w] for w in ws]], np.array([0]), np.array([len(ws)]))[0]
 
