@@ -158,7 +158,9 @@ class SubjectModel:
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """Index of the nearest area by cosine; sentences of little evidence lean to ``general``."""
         leaning = vectors + self.floor * self.centroids[self.general]
-        return (leaning @ self.centroids.T).argmax(axis=1)
+        got = (leaning @ self.centroids.T).argmax(axis=1)
+        got[np.abs(vectors).sum(axis=1) < 1e-9] = self.general
+        return got
 
     def fit(self, vectors: np.ndarray, article: np.ndarray, labels: list[set[str]], described: dict[str, np.ndarray], rounds: int = 12) -> "SubjectModel":
         """Seeds from labels and descriptions, then rounds of choosing and averaging."""
