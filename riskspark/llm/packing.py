@@ -25,6 +25,7 @@ from ..session import materialize
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: how the public byte-level vocabulary splits texts before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+MOST_CAPACITIES = 100
 _ENCODERS: dict[str, object] = {}
 
 
@@ -96,8 +97,11 @@ def pack(documents: DataFrame, capacities: DataFrame, *, group_items: int = 20_0
     """
     sizes = sizes if sizes is not None else materialize(token_sizes(documents, tokenizer=tokenizer), "token-sizes")
     groups = max(1, round(sizes.count() / group_items))
-    own = capacities.where(F.col("capacity_tokens") > 0).select("capacity_id", "capacity_tokens")
-    whole = sizes.join(F.broadcast(own))  # a handful of capacities: each text once per capacity
+    own = capacities.where(F.col("capacity_tokens") > 0).select("capacity_id", "capacity_tokens").distinct().orderBy("capacity_id").limit(MOST_CAPACITIES + 1).collect()
+    if len(own) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities: pack them in turn")
+    each = F.array(*[F.struct(F.lit(r[0]).cast("int").alias("capacity_id"), F.lit(r[1]).cast("int").alias("capacity_tokens")) for r in own])
+    whole = sizes.select("doc_id", "n_tokens", F.explode(each).alias("c")).select("doc_id", "n_tokens", "c.*") if own else sizes.limit(0).select("*", F.lit(0).alias("capacity_id"), F.lit(1).alias("capacity_tokens"))
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity_tokens")) - 1, F.lit(0)).cast("int")
     pieces = whole.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("bigint") * F.col("capacity_tokens")
