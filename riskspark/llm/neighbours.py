@@ -36,19 +36,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``c`` for each row and its similarity, some rows at a time."""
+    own, fit = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=np.float32)
+    for i in range(0, len(x), rows):
+        score = x[i : i + rows] @ c.T
+        own[i : i + rows] = score.argmax(axis=1)
+        fit[i : i + rows] = score.max(axis=1)
+    return own, fit
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Spherical k-means; empty clusters take the rows that fit worst."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        score = x @ c.T
-        own = score.argmax(axis=1)
+        own, fit = _nearest(x, c)
         n = np.bincount(own, minlength=k)
         new = np.zeros_like(c)
         np.add.at(new, own, x)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            new[empty] = x[score.max(axis=1).argsort()[: len(empty)]]
+            new[empty] = x[fit.argsort()[: len(empty)]]
         c = _unit(new)
     return c.astype(np.float32)
 
@@ -66,7 +75,7 @@ class Tree:
         leaves = max(1, min(leaves, len(x)))
         k = max(1, min(int(round(leaves**0.5)), len(x)))
         branches = _kmeans(x, k, rounds, 1)
-        own = (x @ branches.T).argmax(axis=1)
+        own = _nearest(x, branches)[0]
         parts, parent = [], []
         for b in range(k):
             rows = x[own == b]
@@ -77,7 +86,7 @@ class Tree:
         return cls(branches, np.concatenate(parts), np.array(parent))
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.leaves.T).argmax(axis=1)
+        return _nearest(x, self.leaves)[0]
 
     def visits(self, x: np.ndarray, most: int) -> list[list[int]]:
         """For each row the first ``most`` leaves, best bin first."""
@@ -117,7 +126,12 @@ class LeafStore:
         name = f"{at}/{leaf}-{block}"
         with files.open_output_stream(f"{name}.{attempt}") as f:
             f.write(buffer.getvalue())
-        files.move(f"{name}.{attempt}", f"{name}.npy")  # a task that runs again replaces the whole file
+        try:
+            files.move(f"{name}.{attempt}", f"{name}.npy")  # a task that runs again brings the same file
+        except OSError:
+            if files.get_file_info(f"{name}.npy").type != pafs.FileType.File:
+                raise
+            files.delete_file(f"{name}.{attempt}")
 
     def read(self, leaf: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         files, at = self._open()
@@ -142,8 +156,8 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
     vectors = vectors.where(F.size("v") == dim)
     share = min(1.0, sample / n)
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    taken = vectors.where(part < int(share * (1 << 20)) + 1).limit(2 * sample).toPandas().sort_values("id")
-    x = _unit(np.stack(taken["v"].to_numpy()).astype(np.float32))
+    taken = vectors.where(part < int(share * (1 << 20)) + 1).limit(2 * sample).toArrow().combine_chunks().sort_by("id")
+    x = _unit(taken["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32))
     tree = Tree.fit(x, max(1, min(most_leaves, n // leaf_rows, max(1, len(x) // 4))))
     del taken
     per_leaf = np.bincount(tree.leaf_of(x), minlength=len(tree.leaves)) * (n / len(x))
@@ -181,15 +195,19 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
     work = spark.createDataFrame([(i * slices // len(tasks), leaf, block) for i, (leaf, block) in enumerate(tasks)], "slice int, leaf int, block int").repartitionByRange(slices, "slice")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_s = np.full((len(queries), k + 1), -9.0, dtype=np.float32)
+        best_leaf = np.full((len(queries), k + 1), -1, dtype=np.int64)
         for p in batches:
             for leaf, block in zip(p["leaf"], p["block"]):
                 _, raw = store.read(leaf, block)
-                score = queries @ _unit(raw).T
-                top = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
-                q = np.repeat(np.arange(len(queries)), top.shape[1])
-                yield pd.DataFrame({"q": q, "leaf": leaf, "s": score[q, top.ravel()].astype(np.float64)})
-
-    hits = work.mapInPandas(exact, "q int, leaf int, s double").toPandas()  # at most probes * (k + 1) rows a block
+                s = np.concatenate([best_s, queries @ _unit(raw).T], axis=1)
+                at = np.concatenate([best_leaf, np.full((len(queries), len(raw)), leaf)], axis=1)
+                top = np.argpartition(-s, k, axis=1)[:, : k + 1]
+                best_s, best_leaf = np.take_along_axis(s, top, axis=1), np.take_along_axis(at, top, axis=1)
+        found = best_leaf >= 0
+        yield pd.DataFrame({"q": np.nonzero(found)[0], "leaf": best_leaf[found], "s": best_s[found].astype(np.float64)})
+
+    hits = work.mapInPandas(exact, "q int, leaf int, s double").toPandas()  # probes * (k + 1) rows a slice
     hits = hits.sort_values(["q", "s"], ascending=[True, False]).groupby("q").head(k + 1)
     ranks = {q: {leaf: i for i, leaf in enumerate(v)} for q, v in enumerate(tree.visits(queries, len(tree.leaves)))}
     needed = np.sort([ranks[q][leaf] for q, leaf in zip(hits["q"], hits["leaf"])])
