@@ -72,7 +72,7 @@ def archetypes(vectors: DataFrame, centroids: DataFrame, n: int = 2, *, key: str
     pairs = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, vector).join(F.broadcast(centroids.limit(1000)))
     scored = pairs.select(key, "pos", "category", F.round(dot(F.col(vector), F.col("centroid")), 4).alias("score"))
     best = scored.groupBy(key).agg(F.slice(near, 1, n).alias("best"))
-    return best.select(key, F.posexplode("best").alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), "b.category", (-F.col("b.s")).alias("score"))
+    return best.select(key, F.posexplode("best").alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), "b.category", (F.lit(0.0) - F.col("b.s")).alias("score"))
 
 
 def mean_vectors(rows: DataFrame, by: list[str], *, vector: str = "embedding") -> DataFrame:

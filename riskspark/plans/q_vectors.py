@@ -49,7 +49,7 @@ def event_clusters(spark: SparkSession, d: str) -> DataFrame:
 CENTROIDS = "c4 as (select label, embedding from embeddings where label < 6 qualify row_number() over (partition by label order by vec_id) <= 4), cl as (select label, i, avg(x) as m from (select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from c4) group by 1, 2), cc as (select label, list(m order by i) as c from cl group by label)"
 
 
-@query(f"with {CENTROIDS}, s as (select vec_id, label as l, round(list_inner_product(embedding::double[], c), 4) as score from (select vec_id, embedding from embeddings), cc) select vec_id, cast(row_number() over (partition by vec_id order by score desc, l) as integer) as rank, 'archetype_' || l as category, score from s qualify rank <= 2")
+@query(f"with {CENTROIDS}, s as (select vec_id, label as l, round(list_inner_product(embedding::double[], c), 4) + 0e0 as score from (select vec_id, embedding from embeddings), cc) select vec_id, cast(row_number() over (partition by vec_id order by score desc, l) as integer) as rank, 'archetype_' || l as category, score from s qualify rank <= 2")
 def archetype_top2(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
     first = V.rank_rows(rows.where(F.col("label") < 6), ["label"], [F.col("vec_id")], 4)
@@ -58,7 +58,7 @@ def archetype_top2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with s as (select vec_id // 9 as doc, vec_id % 9 as pos, embedding::double[] as v from embeddings), m as (select doc, pos // 3 as para, i, avg(x) as m from (select doc, pos, unnest(v) as x, generate_subscripts(v, 1) as i from s) group by 1, 2, 3),
-    q as (select doc, para, list(m order by i) as c from m group by 1, 2), u as (select doc, para, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) as c from q), k as (select u.doc, para, round(list_inner_product(s.v, u.c), 6) as score from u join s on s.doc = u.doc and s.pos = 0)
+    q as (select doc, para, list(m order by i) as c from m group by 1, 2), u as (select doc, para, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) as c from q), k as (select u.doc, para, round(list_inner_product(s.v, u.c), 6) + 0e0 as score from u join s on s.doc = u.doc and s.pos = 0)
     select doc, cast(min_by(para, (-score, para)) as integer) as core, max(score) as score from k group by doc""")
 def paragraph_core(spark: SparkSession, d: str) -> DataFrame:
     s = _vectors(spark, d).select(F.expr("vec_id div 9").alias("doc"), (F.col("vec_id") % 9).alias("pos"), "embedding")
@@ -66,7 +66,7 @@ def paragraph_core(spark: SparkSession, d: str) -> DataFrame:
     return V.core_paragraph(s.where(F.col("pos") == 0), pooled, doc="doc", vector="embedding")
 
 
-@query("with q as (select embedding as v from embeddings order by vec_id limit 1) select vec_id, round(list_inner_product(embedding::double[], q.v::double[]), 4) as score from embeddings, q order by score desc, vec_id limit 10")
+@query("with q as (select embedding as v from embeddings order by vec_id limit 1) select vec_id, round(list_inner_product(embedding::double[], q.v::double[]), 4) + 0e0 as score from embeddings, q order by score desc, vec_id limit 10")
 def semantic_search_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
     q = rows.orderBy("vec_id").select("embedding").first()
