@@ -18,13 +18,15 @@ def article_text(title: str = "clean_title", body: str = "clean_body") -> Column
     return F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(body), F.lit(""))))
 
 
-def disruption_domains(text: Column, lexicon: dict[str, list[str]] | None = None, inline: dict[str, list[str]] | None = None) -> Column:
+def disruption_domains(text: Column | str, lexicon: dict[str, list[str]] | None = None, inline: dict[str, list[str]] | None = None) -> Column:
     """Domains in lexicon order, then inline ones; words of the lexicon stand alone, inline phrases are substrings."""
     lexicon, inline = lexicon or X.SAMPLE_LEXICON, X.INLINE_DOMAINS if inline is None else inline
-    hits = [F.when(text.rlike(X.whole_words(terms)), F.lit(d)) for d, terms in lexicon.items()]
+    # A plain search, which is fast, passes over the texts that the pattern need not see.
+    column = F.col(text) if isinstance(text, str) else text
+    alone = lambda terms: any_phrase(text, terms) & column.rlike(X.whole_words(terms))
+    hits = [F.when(alone(terms), F.lit(d)) for d, terms in lexicon.items()]
     for d, phrases in inline.items():
-        hit = text.rlike(X.any_of(phrases))
-        hits.append(F.when(hit & ~text.rlike(X.whole_words(lexicon[d])) if d in lexicon else hit, F.lit(d)))
+        hits.append(F.when(any_phrase(text, phrases) & ~alone(lexicon[d]) if d in lexicon else any_phrase(text, phrases), F.lit(d)))
     return F.array_compact(F.array(*hits))
 
 
@@ -36,14 +38,30 @@ def disruption_score(domains: Column, points: dict[str, int] | None = None) -> C
     return F.least(total + F.when(F.size(domains) >= 2, X.MULTI_DOMAIN_BONUS).otherwise(0), F.lit(35)).cast("int")
 
 
-def count_phrases(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(p)).cast("int") for p in phrases])
+def _found(text: Column | str, words: list[str]) -> list[Column] | str:
+    """``contains`` for each word; for a column given by name as one SQL text, which is built in one call."""
+    if isinstance(text, str):
+        return [f"contains(`{text}`, '{w}')" for w in (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)]
+    return [F.contains(text, F.lit(w)) for w in words]
 
 
-def keyword_density(text: Column, keywords: list[str] | None = None) -> Column:
+def count_phrases(text: Column | str, phrases: list[str]) -> Column:
+    found = _found(text, phrases)
+    if isinstance(text, str):
+        return F.expr(" + ".join(f"cast({f} as int)" for f in found))
+    return reduce(lambda a, b: a + b, [f.cast("int") for f in found])
+
+
+def any_phrase(text: Column | str, phrases: list[str]) -> Column:
+    found = _found(text, phrases)
+    return F.expr(" or ".join(found)) if isinstance(text, str) else reduce(lambda a, b: a | b, found)
+
+
+def keyword_density(text: Column | str, keywords: list[str] | None = None) -> Column:
     """0, 6, 11, 16, 16, 20 for 0, 1, 2, 3, 4 and more context words, found as substrings."""
     n = count_phrases(text, keywords or X.SUPPLY_CHAIN)
-    return F.when(n == 0, 0).when(n == 1, 6).when(n == 2, 11).when(n <= 4, 16).otherwise(20).cast("int")
+    # By place in a list, so that the long count stands in the plan once.
+    return F.element_at(F.array(*map(F.lit, (0, 6, 11, 16, 16, 20))), F.least(n, F.lit(5)) + 1).cast("int")
 
 
 def trust_points(trust: Column, default: float = 0.5) -> Column:
@@ -51,9 +69,9 @@ def trust_points(trust: Column, default: float = 0.5) -> Column:
     return F.least(F.bround(F.coalesce(trust, F.lit(default)) * 10, 0).cast("int"), F.lit(10))
 
 
-def press_penalty(text: Column) -> Column:
+def press_penalty(text: Column | str) -> Column:
     n = count_phrases(text, X.PRESS_RELEASE)
-    return F.when(n >= 2, 15).when(n == 1, 5).otherwise(0).cast("int")
+    return F.element_at(F.array(*map(F.lit, (0, 5, 15))), F.least(n, F.lit(2)) + 1).cast("int")
 
 
 def padded(text: Column) -> Column:
@@ -116,9 +134,9 @@ def impact_level(total: Column, disruption: Column, supply_chain: Column, *, hig
 def score_articles(articles: DataFrame, nodes: DataFrame | None = None, places: DataFrame | None = None, *, keys: list[str], lexicon: dict[str, list[str]] | None = None, text: Column | None = None, trust: str = "trust_score") -> DataFrame:
     """All scores of each article, their total (0 to 100) and the impact level."""
     body = text if text is not None else article_text()
-    own = articles.withColumn("_text", body).withColumn("disruption_domains", disruption_domains(F.col("_text"), lexicon))
-    own = own.withColumn("disruption", disruption_score(F.col("disruption_domains"))).withColumn("supply_chain", keyword_density(F.col("_text")))
-    own = own.withColumn("trust", trust_points(F.col(trust))).withColumn("penalty", press_penalty(F.col("_text"))).drop("_text")
+    own = articles.withColumn("_text", body)
+    own = own.withColumns({"disruption_domains": disruption_domains("_text", lexicon), "supply_chain": keyword_density("_text"), "trust": trust_points(F.col(trust)), "penalty": press_penalty("_text")}).drop("_text")
+    own = own.withColumn("disruption", disruption_score(F.col("disruption_domains")))
     none = F.array().cast("array<string>")
     own = own.join(entity_scores(articles, nodes, keys=keys), keys) if nodes is not None else own.withColumns({"entity": F.lit(0), "linked_nodes": none})
     own = own.join(geo_score(articles, places, keys=keys, text=text), keys) if places is not None else own.withColumn("geo", F.lit(0))

@@ -7,6 +7,7 @@ as the summary's input is defined by it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,17 +71,31 @@ def lexrank(rows: DataFrame, *, by: str, pos: str, text: str, n: int, most: int
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, kind="stable")
-        texts = part[text].tolist()
-        if len(texts) > n:
-            score = np.round(lexrank_scores(_weights(texts)), 9)
-            chosen = sorted(np.lexsort((np.arange(len(texts)), -score))[:n])
-            texts = [texts[i] for i in chosen]
-        return pd.DataFrame({by: [part[by].iloc[0]], "summary": ["  ".join(texts)]})
+        return pd.DataFrame({by: [part[by].iloc[0]], "summary": [central(part[text].tolist(), n)]})
 
     kind = dict(rows.dtypes)[by]
     return lead.select(by, pos, text).groupBy(by).applyInPandas(rank, f"`{by}` {kind}, summary string")
 
 
+def central(texts: list[str], n: int) -> str:
+    """The ``n`` most central sentences in text order, ties to the earlier one."""
+    if len(texts) > n:
+        score = np.round(lexrank_scores(_weights(texts)), 9)
+        texts = [texts[i] for i in sorted(np.lexsort((np.arange(len(texts)), -score))[:n])]
+    return "  ".join(texts)
+
+
+def lexrank_documents(rows: DataFrame, *, key: str, sentences: str, n: int) -> DataFrame:
+    """(key, summary) of documents whose sentences stand in one array: no exchange. Without sentences there is no row."""
+    kind = dict(rows.dtypes)[key]
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({key: part[key], "summary": [central(list(s), n) for s in part[sentences]]})
+
+    return rows.where(F.size(sentences) > 0).select(key, sentences).mapInPandas(rank, f"`{key}` {kind}, summary string")
+
+
 def mmr(rows: DataFrame, *, by: str, pos: str, vector: str, n: int = 6, balance: float = 0.55, most: int = 2000) -> DataFrame:
     """(by, rank, pos): rows of a group chosen one by one for nearness to its centre and distance to those chosen.
 

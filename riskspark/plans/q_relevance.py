@@ -12,7 +12,7 @@ from ..operators import filters as FL
 from ..operators import relevance as R
 from ..session import table
 from ..sources import feeds, runs
-from .registry import query
+from .base import query
 
 KEYS = ["article_id", "run_id"]
 TEXT = "lower(concat_ws(' ', coalesce(clean_title, ''), coalesce(clean_body, '')))"
@@ -96,13 +96,13 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BASE}, d as (select *, {_domains_sql()} as ds from t) select article_id, run_id, array_to_string(ds, ',') as domains, {_points_sql()} as disruption from d")
 def score_disruption(spark: SparkSession, d: str) -> DataFrame:
-    own = _articles(spark, d).withColumn("ds", R.disruption_domains(R.article_text()))
+    own = _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).withColumn("ds", R.disruption_domains("_text"))
     return own.select(*KEYS, F.array_join("ds", ",").alias("domains"), R.disruption_score(F.col("ds")).alias("disruption"))
 
 
 @query(f"with {BASE} select article_id, run_id, {DENSITY} as supply_chain from t")
 def score_keyword_density(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).select(*KEYS, R.keyword_density(R.article_text()).alias("supply_chain"))
+    return _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).select(*KEYS, R.keyword_density("_text").alias("supply_chain"))
 
 
 @query(f"with {NODES}, {HITS}, {ENTITY} select a.article_id, a.run_id, cast(coalesce(e.entity, 0) as integer) as entity from (select distinct article_id, run_id from preprocessed_articles) a left join e using (article_id, run_id)")
@@ -122,7 +122,7 @@ def score_trust(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BASE} select article_id, run_id, {PENALTY} as penalty from t")
 def score_pr_penalty(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).select(*KEYS, R.press_penalty(R.article_text()).alias("penalty"))
+    return _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).select(*KEYS, R.press_penalty("_text").alias("penalty"))
 
 
 @query(f"with {TOTAL} select article_id, run_id, disruption, supply_chain, entity, geo, trust, penalty, total, impact from scored")

@@ -10,7 +10,7 @@ from ..operators import legacy_risk as L
 from ..operators import risk as K
 from ..session import table
 from .q_relevance import lit
-from .registry import query
+from .base import query
 
 AS_OF = "2025-06-01 00:00:00"
 C = """c as (select r.record_id as pos, r.cluster_id, r.risk_score_norm * 100 as score, r.disruption_domain as domain, f.country, r.source, r.fetched_at as published, r.impact_level as level,

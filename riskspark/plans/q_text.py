@@ -12,7 +12,7 @@ from ..operators import summaries as S
 from ..operators import topics as TP
 from ..session import table
 from .q_relevance import lit
-from .registry import query
+from .base import query
 
 SPLIT = r"string_split(regexp_replace({0}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 USABLE = "list_slice(list_filter(" + SPLIT.format("coalesce(clean_body, '')") + ", lambda s: length(s) >= 40), 1, 12)"
@@ -122,8 +122,16 @@ def corpus_records(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lexrank_summary(spark: SparkSession, d: str) -> DataFrame:
     """Two central sentences of each article."""
-    rows = _articles(spark, d).where(F.col("clean_body").isNotNull()).dropDuplicates(["article_id"]).select("article_id", F.posexplode(T.usable_sentences(F.col("clean_body"))).alias("pos", "sentence"))
-    return S.lexrank(rows, by="article_id", pos="pos", text="sentence", n=2)
+    rows = _articles(spark, d).where(F.col("clean_body").isNotNull()).dropDuplicates(["article_id"]).select("article_id", T.usable_sentences(F.col("clean_body")).alias("sentences"))
+    return S.lexrank_documents(rows, key="article_id", sentences="sentences", n=2)
+
+
+@query()
+def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Four central sentences of each cluster, from the summaries of its records."""
+    rows = table(spark, d, "corpus_records").where((F.col("cluster_id") >= 0) & (F.col("extractive_summary") != "")).select("cluster_id", "record_id", F.posexplode(F.split("extractive_summary", r" \|\|\| ")).alias("i", "sentence"))
+    rows = rows.select("cluster_id", (F.col("record_id") * 1000 + F.col("i")).alias("pos"), "sentence")
+    return S.lexrank(rows, by="cluster_id", pos="pos", text="sentence", n=4)
 
 
 @query("""with f as (select cluster_id, min_by(title, record_id) as headline, min_by(extractive_summary, record_id) as s from corpus_records where cluster_id >= 0 group by 1) select cluster_id, headline, array_to_string(list_slice(string_split(s, ' ||| '), 1, 3), ' ') as what_happened from f""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.timestamps import normalise_timestamps, utc_text
 from ..session import table
 from ..streaming import streams
-from .registry import query
+from .base import query
 
 
 @query()

@@ -10,7 +10,7 @@ from ..operators import summaries as S
 from ..operators import topics as TP
 from ..operators import vectors as V
 from ..session import table
-from .registry import query
+from .base import query
 
 PAIRS = "p as (select x.vec_id as a, y.vec_id as b, list_inner_product(x.embedding::double[], y.embedding::double[]) as sim from embeddings x join embeddings y on x.vec_id < y.vec_id where list_inner_product(x.embedding::double[], y.embedding::double[]) >= {0})"
 

@@ -1,24 +1,8 @@
-"""All queries of the core, with their SQL. Modules of this package register theirs on import."""
+"""All queries of the core, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_relevance, q_risk, q_text, q_time, q_vectors  # noqa: F401
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-from . import q_relevance, q_risk, q_text, q_time, q_vectors  # noqa: E402,F401
+__all__ = ["ORACLES", "QUERIES"]

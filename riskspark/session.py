@@ -55,6 +55,18 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer partitions than there are cores; else as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+# Tables of texts and vectors, on which the work per row is large.
+HEAVY = {"documents", "preprocessed_articles", "corpus_records", "article_encodings"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; a parquet file or a folder of them."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
