@@ -155,8 +155,8 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
     dim, n = sizes[0]["d"], sizes[0]["count"]
     vectors = vectors.where(F.size("v") == dim)
     share = min(1.0, sample / n)
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    taken = vectors.where(part < int(share * (1 << 20)) + 1).limit(2 * sample).toArrow().combine_chunks().sort_by("id")
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    taken = vectors.where(part < int(share * (1 << 40) + 0.5)).toArrow().combine_chunks().sort_by("id")
     x = _unit(taken["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32))
     tree = Tree.fit(x, max(1, min(most_leaves, n // leaf_rows, max(1, len(x) // 4))))
     del taken
