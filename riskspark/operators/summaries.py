@@ -1,19 +1,20 @@
 """Extractive summaries: term weights, LexRank, maximal marginal relevance, briefs.
 
-Groups are one document or the sentences of one cluster's brief; ``most`` bounds the sentences a group ranks,
-as the summary's input is defined by it.
+Groups too large for one task are ranked in heats over all their rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def tfidf(rows: DataFrame, *, by: str, doc: str, tokens: str) -> DataFrame:
     """(by, doc, term, weight): unit vectors of tf * (ln((n + 1) / (df + 1)) + 1) within each group."""
@@ -62,27 +63,51 @@ def lexrank_scores(vectors: np.ndarray, *, threshold: float = 0.1, damping: floa
     return score
 
 
+def _heats(rows: DataFrame, by: str, pos: str, most: int, pick: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Rows of groups of at most about ``most``: a larger group is dealt into blocks by a hash, and what ``pick``
+    chooses of each block goes on, until each group is one block. No task holds a large group, and all rows take part.
+    """
+    while True:
+        sizes = rows.groupBy(by).agg(F.ceil(F.count("*") / (1.5 * most)).cast("int").alias("_b"))
+        largest = sizes.agg(F.max("_b").alias("m")).first()["m"]
+        if not largest or largest <= 1:
+            return rows
+        dealt = rows.join(sizes, by)
+        small = dealt.where(F.col("_b") <= 1).drop("_b")
+        large = dealt.where(F.col("_b") > 1).withColumn("_b", F.pmod(F.xxhash64(pos), F.col("_b")).cast("int"))
+        won = large.groupBy(by, "_b").applyInPandas(lambda part: pick(part.drop(columns="_b")), rows.schema)
+        rows = materialize(small.unionByName(won), "heats")
+
+
 def lexrank(rows: DataFrame, *, by: str, pos: str, text: str, n: int, most: int = 400) -> DataFrame:
     """(by, summary): the ``n`` most central sentences of a group in text order; one alone is itself.
 
-    A group's first ``most`` sentences are ranked.
+    Groups above ``most`` sentences are ranked in heats, of which the winners are ranked again.
     """
-    lead = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(pos))).where(F.col("_r") <= most)
+    kind = dict(rows.dtypes)[by]
+
+    def heat(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(pos, kind="stable")
+        return part.iloc[chosen(part[text].tolist(), n)]
 
     def rank(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, kind="stable")
         return pd.DataFrame({by: [part[by].iloc[0]], "summary": [central(part[text].tolist(), n)]})
 
-    kind = dict(rows.dtypes)[by]
-    return lead.select(by, pos, text).groupBy(by).applyInPandas(rank, f"`{by}` {kind}, summary string")
+    own = _heats(rows.where(F.col(text).isNotNull()).select(by, pos, text), by, pos, most, heat)
+    return own.groupBy(by).applyInPandas(rank, f"`{by}` {kind}, summary string")
+
+
+def chosen(texts: list[str], n: int) -> list[int]:
+    """Places of the ``n`` most central sentences in text order, ties to the earlier one."""
+    if len(texts) <= n:
+        return list(range(len(texts)))
+    score = np.round(lexrank_scores(_weights(texts)), 9)
+    return sorted(np.lexsort((np.arange(len(texts)), -score))[:n].tolist())
 
 
 def central(texts: list[str], n: int) -> str:
-    """The ``n`` most central sentences in text order, ties to the earlier one."""
-    if len(texts) > n:
-        score = np.round(lexrank_scores(_weights(texts)), 9)
-        texts = [texts[i] for i in sorted(np.lexsort((np.arange(len(texts)), -score))[:n])]
-    return "  ".join(texts)
+    return "  ".join(texts[i] for i in chosen(texts, n))
 
 
 def lexrank_documents(rows: DataFrame, *, key: str, sentences: str, n: int) -> DataFrame:
@@ -96,31 +121,39 @@ def lexrank_documents(rows: DataFrame, *, key: str, sentences: str, n: int) -> D
     return rows.where(F.size(sentences) > 0).select(key, sentences).mapInPandas(rank, f"`{key}` {kind}, summary string")
 
 
+def _marginal(v: np.ndarray, n: int, balance: float) -> list[int]:
+    """Places chosen one by one for nearness to the centre and distance to those chosen."""
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    centre = v.mean(axis=0)
+    gain, near = v @ (centre / max(np.linalg.norm(centre), 1e-12)), np.zeros(len(v))
+    out: list[int] = []
+    while len(out) < min(n, len(v)):
+        score = np.round(balance * gain - (1 - balance) * near, 9)
+        score[out] = -9
+        best = int(score.argmax())
+        out.append(best)
+        near = np.maximum(near, v @ v[best]) if len(out) > 1 else v @ v[best]
+    return out
+
+
 def mmr(rows: DataFrame, *, by: str, pos: str, vector: str, n: int = 6, balance: float = 0.55, most: int = 2000) -> DataFrame:
-    """(by, rank, pos): rows of a group chosen one by one for nearness to its centre and distance to those chosen.
+    """(by, rank, pos): the rows of each group that are near its centre and far from one another, in order of choice.
 
-    Of a group's rows the ``most`` nearest to its beginning are considered.
+    Groups above ``most`` rows are chosen from in heats.
     """
-    lead = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(pos))).where(F.col("_r") <= most)
+    own = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(by, pos, vector)
+
+    def heat(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(pos, kind="stable")
+        return part.iloc[_marginal(np.stack(part[vector].to_numpy()).astype(float), n, balance)]
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, kind="stable")
-        v = np.stack(part[vector].to_numpy()).astype(float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        centre = v.mean(axis=0)
-        centre /= max(np.linalg.norm(centre), 1e-12)
-        gain, near = v @ centre, np.zeros(len(v))
-        chosen: list[int] = []
-        while len(chosen) < min(n, len(v)):
-            score = np.round(balance * gain - (1 - balance) * near, 9)
-            score[chosen] = -9
-            best = int(score.argmax())
-            chosen.append(best)
-            near = np.maximum(near, v @ v[best]) if len(chosen) > 1 else v @ v[best]
-        return pd.DataFrame({by: [part[by].iloc[0]] * len(chosen), "rank": np.arange(1, len(chosen) + 1, dtype=np.int32), "pos": part[pos].to_numpy()[chosen]})
+        got = _marginal(np.stack(part[vector].to_numpy()).astype(float), n, balance)
+        return pd.DataFrame({by: [part[by].iloc[0]] * len(got), "rank": np.arange(1, len(got) + 1, dtype=np.int32), "pos": part[pos].to_numpy()[got]})
 
     kinds = dict(rows.dtypes)
-    return lead.select(by, pos, vector).groupBy(by).applyInPandas(choose, f"`{by}` {kinds[by]}, rank int, pos {kinds[pos]}")
+    return _heats(own, by, pos, most, heat).groupBy(by).applyInPandas(choose, f"`{by}` {kinds[by]}, rank int, pos {kinds[pos]}")
 
 
 def briefs(clusters: DataFrame, *, by: str = "cluster_id") -> DataFrame:

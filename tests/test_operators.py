@@ -139,6 +139,14 @@ def test_lexrank_keeps_text_order(spark):
     assert got[2] == "alone" and "zeta" not in got[1] and got[1].count("  ") == 1
 
 
+def test_large_groups_in_heats(spark):
+    rows = spark.range(900).select(F.lit(1).alias("d"), F.col("id").alias("p"), F.concat(F.lit("common words here "), F.col("id") % 7).alias("t"))
+    got = S.lexrank(rows, by="d", pos="p", text="t", n=3, most=50).collect()
+    assert len(got) == 1 and got[0].summary.count("common") == 3
+    vectors = rows.select("d", "p", F.array(F.sin("p"), F.cos("p")).alias("v"))
+    assert S.mmr(vectors, by="d", pos="p", vector="v", n=4, most=60).count() == 4
+
+
 def test_text_functions(spark):
     t = lambda c: one(spark, c)
     assert t(T.clean_text(F.lit("A&nbsp;“b”\n\n\n\nc  d <i>e</i> Read more: all that follows"))) == 'A "b"\n\nc d e'
