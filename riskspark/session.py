@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "riskspark", cores: str = "*", shuffle: int = 8) -> SparkSession:
@@ -24,11 +28,26 @@ def get_spark(app: str = "riskspark", cores: str = "*", shuffle: int = 8) -> Spa
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their path has it already."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="riskspark-"), "riskspark.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            z.write(p, p.relative_to(root).as_posix())
+    spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
     Only where it is unset (tests on one machine) a temporary folder is made and set.
     """
+    ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
@@ -68,5 +87,6 @@ HEAVY = {"documents", "preprocessed_articles", "corpus_records", "article_encodi
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; a parquet file or a folder of them."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in HEAVY else df
