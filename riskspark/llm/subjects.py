@@ -184,7 +184,7 @@ class SubjectModel:
             centroids = np.where(y.sum(axis=0)[:, None] > 0, y.T @ unit, seed)
             at = unit
         self.centroids = (centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.floor = 0.1 * float(np.median(norm)) if len(unit) else 0.0
+        self.floor = 0.03 * float(np.median(norm)) if len(unit) else 0.0
         return self
 
 
