@@ -3,8 +3,9 @@
 Documents are cut into windows of the size of an item and of a short run. Windows get SimHash
 fingerprints: item-sized ones are compared with the fingerprints of all items (a stated query set), run-sized
 ones are looked up in a multi-index of Hamming blocks, of which at least one agrees exactly for all fingerprints within
-``RADIUS``. Candidates are verified on the words themselves: a run of consecutive words, or the
-words of the item in order within a stretch, or two, of about its length, weighed by how rare they are.
+``RADIUS``. Counts of shared words add every item that could have half of its words in the document, which
+fingerprints may miss. Candidates are verified on the words themselves: a run of consecutive words, or half
+of the item's words in order within a stretch of about its length, or two that do not overlap.
 
 Fingerprints stand for words alone: case, punctuation, spacing, markup, line breaks, hyphens at line ends and
 invisible characters are gone before. The items are broadcast; ``find_leaks`` refuses more than ``max_items``.
@@ -20,6 +21,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,10 +85,42 @@ def _order(masks: dict[str, int], words: list[str]) -> int:
 
 def in_order(item: list[str], words: list[str]) -> int:
     """Length of the longest common subsequence."""
+    return len(item) - (_order(_masks(item), words) & ((1 << len(item)) - 1)).bit_count()
+
+
+def _masks(item: list[str]) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    return len(item) - (_order(masks, words) & ((1 << len(item)) - 1)).bit_count()
+    return masks
+
+
+def _reach(n: int) -> int:
+    """Words of a document in which ``n`` words of an item may lie."""
+    return int(n * 1.25) + 2
+
+
+def _parts(masks: dict[str, int], words: list[str], n: int) -> list[int]:
+    """For each p up to n, how many of the item's first p words stand in order within the first ``_reach(p)`` of ``words``."""
+    v, out, p = -1, [0] * (n + 1), 1
+    for t, w in enumerate(words, 1):
+        m = masks.get(w)
+        if m:
+            u = v & m
+            v = (v + u) | (v - u)
+        while p <= n and _reach(p) <= t:
+            out[p] = p - (v & ((1 << p) - 1)).bit_count()
+            p += 1
+    for p in range(p, n + 1):
+        out[p] = p - (v & ((1 << p) - 1)).bit_count()
+    return out
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of all places of the ranges [low, high)."""
+    many = high - low
+    row = np.repeat(np.arange(len(low)), many)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
 
 
 class Items:
@@ -124,6 +158,17 @@ class Items:
         lengths = np.array([len(w) for w in self.words])
         self.sizes = sorted({int(16 * 1.35**j) for j in range(1, 40) if lengths.size and 16 * 1.35**j <= lengths.max() * 1.35}) or [32]
         self.whole = np.stack([self._whole(ws) for ws in self.words]) if self.words else np.zeros((0, WIDE_BITS // 64), np.uint64)
+        # Words that an item has m times stand for m features, so that the features shared with a text bound what can stand in order.
+        held: list[list[int]] = [[] for _ in self.vocabulary]
+        for k, ws in enumerate(self.words):
+            for w, m in Counter(ws).items():
+                held[self.code[w]] += [k, m]
+        most = np.array([max(h[1::2]) for h in held], dtype=np.int64)
+        self.feature = np.r_[0, np.cumsum(most)]
+        listed = [[k for k, m in zip(h[::2], h[1::2]) if m > level] for h, top in zip(held, most) for level in range(top)]
+        self.first = np.r_[0, np.cumsum([len(x) for x in listed], dtype=np.int64)].astype(np.int64)
+        self.holders = np.array([k for x in listed for k in x], dtype=np.int64)
+        self.need = np.array([math.ceil(n / 2) if n >= RUN else n for n in lengths], dtype=np.int64)
         self.size_of = np.array([min(self.sizes, key=lambda s: abs(math.log(s / max(1, n)))) for n in lengths]) if len(lengths) else np.zeros(0)
 
     @staticmethod
@@ -180,39 +225,83 @@ class Items:
                 out.setdefault(int(of[c]), set()).add(int(low[r]))
         return out
 
-    def holds(self, k: int, words: list[str], places: set[int], grams: set[tuple[str, ...]]) -> bool:
+    def countable(self, words: list[str]) -> set[int]:
+        """All items with which the document shares as many words as must stand in order, repeated ones as often as in both."""
+        codes = np.array([c for w in words if (c := self.code.get(w)) is not None], dtype=np.int64)
+        if not len(codes):
+            return set()
+        code, many = np.unique(codes, return_counts=True)
+        top = np.minimum(self.feature[code] + many, self.feature[code + 1])
+        _, feature = _spread(self.feature[code], top)
+        _, place = _spread(self.first[feature], self.first[feature + 1])
+        shared = np.bincount(self.holders[place], minlength=len(self.words))
+        return set(np.flatnonzero(shared >= self.need).tolist())
+
+    def holds(self, k: int, words: list[str], grams: set[tuple[str, ...]]) -> bool:
         """Whether the document, with its ``grams`` of RUN words, holds the item.
 
-        It does by a run, or by half of the item's words in order in a stretch or two.
+        It does by a run, or by half of the item's words in order in a stretch or two, the item's beginning in the
+        one and its end in the other, wherever it is parted.
         """
         item = self.words[k]
         n = len(item)
         if not self.runs[k].isdisjoint(grams):
             return True
-        if not self._rare(k, words):
+        need = int(self.need[k])
+        ahead, back = _masks(item), _masks(item[::-1])
+        step, reach = max(1, n // 16), _reach(n)
+        lows = np.arange(0, max(1, len(words) - 2 + step), step)
+        # Wherever the item is parted, a stretch holds no more of a part than the words they share, repeated ones as often
+        # as in the item; what cannot make up the need with the best other stretch is passed over.
+        one, two, often = {w: i for i, w in reversed(list(enumerate(item)))}, {w: i for i, w in enumerate(item)}, Counter(item)
+        size = len(words)
+        begins, ends = np.array([one.get(w, n) for w in words]), np.array([two.get(w, -1) for w in words])
+        before, later = np.full(size, -1), np.full(size, size)  # where the word stood as many times before, or will, as the item has it
+        seen: dict[str, list[int]] = {}
+        for t, w in enumerate(words):
+            if w in often:
+                at = seen.setdefault(w, [])
+                if len(at) >= often[w]:
+                    before[t] = at[-often[w]]
+                    later[at[-often[w]]] = t
+                at.append(t)
+        stop = np.maximum(0, size - lows)
+        fore_at, aft_at = lows[:, None] + np.arange(reach), stop[:, None] - 1 - np.arange(reach)
+        fore_in, aft_in = fore_at < size, aft_at >= 0
+        fore_at, aft_at = np.minimum(fore_at, size - 1), np.maximum(aft_at, 0)
+        fore_in &= before[fore_at] < lows[:, None]
+        aft_in &= later[aft_at] >= stop[:, None]
+        fore_at, aft_at = begins[fore_at], ends[aft_at]
+        use_first, use_last = np.zeros(len(lows), dtype=bool), np.zeros(len(lows), dtype=bool)
+        cuts = sorted({n * i // 12 for i in range(13)})
+        for a, b in zip(cuts, cuts[1:]):
+            fore = (fore_in & (fore_at < b))[:, : _reach(b)].sum(axis=1)
+            aft = (aft_in & (aft_at >= a))[:, : _reach(n - a)].sum(axis=1)
+            use_first |= fore + aft.max() >= need
+            use_last |= aft + fore.max() >= need
+        if not use_first.any():
             return False
-        need = math.ceil(n / 2) if n >= RUN else n
-        reach = int(n * 1.25) + 2
-        step = max(1, n // 8)
-        tried: set[int] = set()
-        for at in sorted(places):
-            for low in range(max(0, at - n // 2), min(len(words), at + n // 2 + 1), step):
-                low -= low % step
-                if low in tried:
-                    continue
-                tried.add(low)
-                if in_order(item, words[low : low + reach]) >= need and self._rare(k, words[low : low + reach]):
+        first = np.zeros((len(lows), n + 1), dtype=np.int32)  # by start and length of the item's beginning
+        last = np.zeros((len(lows), n + 1), dtype=np.int32)  # by end and length of the item's end
+        turned = words[::-1]
+        for i, low in enumerate(lows.tolist()):
+            if use_first[i]:
+                first[i] = _parts(ahead, words[low : low + reach], n)
+                if first[i, n] >= need:
                     return True
-        half = n // 2
-        best = 0
-        for part in (item[:half], item[half:]):
-            best += max((in_order(part, words[low : low + int(half * 1.25) + 2]) for low in tried), default=0)
-        return best >= need + n // 20
-
-    def _rare(self, k: int, words: list[str]) -> bool:
-        """At least half of the item's rare words are there: common words in order alone are no leak."""
-        rare = self.rare[k]
-        return not rare or 2 * len(rare & set(words)) >= len(rare)
+            if use_last[i]:
+                last[i] = _parts(back, turned[low : low + reach], n)
+        if (first.max(axis=0) + last.max(axis=0)[::-1]).max() < need:
+            return False
+        end_of_last = len(words) - lows  # falls
+        for p in range(1, n):
+            start = end_of_last - _reach(n - p)
+            for one, two, ends, starts in ((first[:, p], last[:, n - p], lows + _reach(p), start), (last[::-1, n - p], first[:, p], end_of_last[::-1], lows)):
+                so_far = np.maximum.accumulate(one)
+                before = np.searchsorted(ends, starts, side="right") - 1
+                if (np.where(before >= 0, so_far[before], -n) + two).max() >= need:
+                    return True
+        return False
 
 
 def _document_words(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -253,10 +342,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", t
             docs, found = [], []
             for d, t in zip(part["doc_id"], part["text"]):
                 words = plain_words(t)
-                near = table.candidates(words)
+                near = table.candidates(words).keys() | table.countable(words)
                 grams = {tuple(words[i : i + RUN]) for i in range(len(words) - RUN + 1)} if near else set()
-                for k, places in near.items():
-                    if table.holds(k, words, places, grams):
+                for k in sorted(near):
+                    if table.holds(k, words, grams):
                         docs.append(d)
                         found.append(table.ids[k])
             yield pd.DataFrame({"doc_id": docs, "item_id": found})

@@ -230,6 +230,27 @@ def test_leaks(spark):
     assert leakage.find_leaks(documents.limit(0), items).count() == 0 and leakage.find_leaks(documents, items.limit(0)).count() == 0
 
 
+def test_half_of_an_item_in_a_stretch_or_two():
+    """Just half of the words in order are enough whichever words they are, less are not, and one stretch does not count twice."""
+    rng = np.random.default_rng(7)
+    item = [f"w{i}" for i in range(60)]
+    table = leakage.Items([(1, item), (2, [f"v{i}" for i in range(60)])], {w: 0.1 if i % 2 else 9.0 for i, w in enumerate(item)}, 9.0)
+    gap = [f"x{i}" for i in range(200)]
+
+    def found(keep, between):
+        texts = [w if i in keep else f"y{i}" for i, w in enumerate(item)]
+        words = gap[:90] + texts[:30] + between + texts[30:] + gap[:90]
+        return 0 in table.candidates(words).keys() | table.countable(words) and table.holds(0, words, set())
+
+    for between in ([], gap):
+        for _ in range(10):
+            keep = rng.choice(60, 30, replace=False).tolist()
+            assert found(keep, between) and not found(keep[:-1], between)
+        assert found(range(1, 60, 2), between)  # the common half of the words
+    twice = leakage.Items([(1, ["a", "b", "c", "d"] * 10)], {}, 9.0)
+    assert not twice.holds(0, ["a", "b", "c", "d"] * 2 + ["a", "b", "c"], set())
+
+
 def test_subsequence_length():
     rng = np.random.default_rng(5)
     for _ in range(100):
