@@ -1,6 +1,6 @@
 """Normalising timestamps written in mixed formats and time zones.
 
-Distinct (raw text, zone, date order, language) combinations form a dictionary that is parsed once,
+Distinct (raw text, zone, date order) combinations form a dictionary that is parsed once,
 kept in the shared folder and extended by what new rows add; rows get their instant by a join.
 """
 
@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import workspace
+from ..session import materialize
+from ..store import Store, bucket_count
 
 # Month names of the supported languages, by month.
 MONTH_NAMES = {
@@ -192,33 +193,48 @@ def parse_moment(raw: str | None, zone: str | None, order: str | None) -> int |
 
 def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
-        got = [parse_moment(r, z, o) for r, z, o in zip(part["raw"], part["zone"], part["date_order"])]
+        got = [parse_moment(r, z or None, o or None) for r, z, o in zip(part["raw"], part["zone"], part["date_order"])]
         yield part.assign(epoch_s=pd.array(got, dtype="Int64"))
 
 
-DICT_SCHEMA = "raw string, zone string, date_order string, lang string, epoch_s bigint"
+DICT_SCHEMA = "key bigint, raw string, zone string, date_order string, epoch_s bigint"
+_PARTS = ("raw", "zone", "date_order")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Null zones and orders are empty ones, so that equal readings have equal keys."""
+    own = rows.select(*[c for c in rows.columns if c not in _PARTS[1:]], *[F.coalesce(c, F.lit("")).alias(c) for c in _PARTS[1:]])
+    return own.withColumn("key", F.xxhash64(*_PARTS))
 
 
 class TimestampDictionary:
-    """Distinct raw timestamps with their instants, kept as a table that grows by appends."""
+    """Distinct raw timestamps with their instants, a store that grows by appends and can be opened again at its path.
+
+    Entries are parted by a hash, so that an extension reads only the parts its new texts fall into. The
+    language of a source is no part of the key: no month name of one supported language means another
+    month in a second one, so the languages are read together.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or workspace(spark, "timestamps")
-        self.parts = 0
+        self.store = Store(spark, path, "timestamps")
+        self.path = self.store.path
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.schema(DICT_SCHEMA).parquet(f"{self.path}/part=*") if self.parts else None
+    def read(self) -> DataFrame:
+        return self.store.read("entries", DICT_SCHEMA)
 
     def extend(self, rows: DataFrame) -> None:
-        """Parse what ``rows`` (raw, zone, date_order, lang) add to the dictionary. Null texts are left out."""
-        new = rows.where(F.col("raw").isNotNull()).select("raw", "zone", "date_order", "lang").distinct()
-        known = self.read()
-        if known is not None:
-            same = [new[c].eqNullSafe(known[c]) for c in ("raw", "zone", "date_order", "lang")]
-            new = new.join(known, same, "left_anti")
-        new.mapInPandas(parse_batches, DICT_SCHEMA).write.parquet(f"{self.path}/part={self.parts:05d}")
-        self.parts += 1
+        """Parse what ``rows`` (raw, zone, date_order) add to the dictionary. Null texts are left out."""
+        store = self.store
+        new = _keyed(rows.where(F.col("raw").isNotNull()).select(*_PARTS)).distinct()
+        if not store.steps:
+            store.buckets = bucket_count(new.count())
+        else:
+            new = materialize(new, "timestamps-new")
+            known = store.read("entries", DICT_SCHEMA, store.touched(new)).select("key", *_PARTS)
+            new = new.join(known, ["key", *_PARTS], "left_anti")
+        store.begin()
+        store.write(new.mapInPandas(parse_batches, DICT_SCHEMA), "entries", store.bucket(F.col("key")))
+        store.publish()
 
 
 def normalise_timestamps(
@@ -230,15 +246,13 @@ def normalise_timestamps(
     left out; repeated rows come out as often as they come in; an empty table gives an empty result.
     A source missing from ``sources`` has no clock: only texts that state their zone are read.
     """
-    spark = records.sparkSession
-    own = sources.select(F.col("source").alias("_s"), F.col("tz").alias("zone"), "date_order", "lang").dropDuplicates(["_s"])
-    rows = records.select(F.col(key).alias("_key"), F.col(raw).alias("raw"), F.col("source").alias("_src")).where(F.col("raw").isNotNull())
-    rows = rows.join(own, F.col("_src") == F.col("_s"), "left").select("_key", "raw", "zone", "date_order", "lang")
-    dictionary = dictionary or TimestampDictionary(spark)
+    own = sources.select(F.col("source").alias("_s"), F.col("tz").alias("zone"), "date_order").dropDuplicates(["_s"])
+    rows = records.select(F.col(key).alias("_id"), F.col(raw).alias("raw"), F.col("source").alias("_src")).where(F.col("raw").isNotNull())
+    rows = _keyed(rows.join(own, F.col("_src") == F.col("_s"), "left").select("_id", *_PARTS))
+    dictionary = dictionary or TimestampDictionary(records.sparkSession)
     dictionary.extend(rows)
     known = dictionary.read().where(F.col("epoch_s").isNotNull())
-    same = [F.coalesce(rows[c], F.lit("")) == F.coalesce(known[c], F.lit("")) for c in ("zone", "date_order", "lang")]
-    return rows.join(known, [rows["raw"] == known["raw"], *same]).select(rows["_key"].alias(key), known["epoch_s"])
+    return rows.join(known, ["key", *_PARTS]).select(F.col("_id").alias(key), "epoch_s")
 
 
 def utc_text(epoch_s: Column) -> Column:

@@ -45,12 +45,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Where it is unset a session on one machine (tests) gets a temporary folder; on a cluster this raises, as no
+    folder of one machine is shared.
     """
     ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="riskspark-")
@@ -74,11 +77,16 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+FEW_FILES = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its files give fewer partitions than there are cores; else as it is."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """``df`` over all cores, if it lies in a handful of files, fewer than there are cores; else as it is.
+
+    A table of many files is never moved: its files are work enough for the cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, FEW_FILES) else df
 
 
 # Tables of texts and vectors, on which the work per row is large.

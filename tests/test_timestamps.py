@@ -54,9 +54,16 @@ def test_operator(spark):
     assert normalise_timestamps(rows.limit(0), sources).count() == 0
 
 
-def test_dictionary_parses_once(spark):
-    d = TimestampDictionary(spark)
-    rows = spark.createDataFrame([("2024-05-01 10:00", "UTC", "dmy", "en")], "raw string, zone string, date_order string, lang string")
-    d.extend(rows)
-    d.extend(rows)
-    assert d.read().count() == 1
+def test_dictionary_is_kept_and_opened_again(spark, tmp_path):
+    rows = lambda *texts: spark.createDataFrame([(t, "UTC", "dmy") for t in texts], "raw string, zone string, date_order string")
+    at = f"file://{tmp_path}/dictionary"
+    first = TimestampDictionary(spark, at)
+    first.extend(rows("2024-05-01 10:00"))
+    first.extend(rows("2024-05-01 10:00"))
+    again = TimestampDictionary(spark, at)
+    assert again.read().count() == 1 and again.store.steps == 2
+    again.extend(rows("2024-05-01 10:00", "2024-05-02 10:00", "no time"))
+    assert TimestampDictionary(spark, at).read().count() == 3
+    with pytest.raises(RuntimeError):  # the first object does not know of the step the second wrote
+        first.extend(rows("2024-05-03 10:00"))
+    assert TimestampDictionary(spark, at).read().count() == 3
