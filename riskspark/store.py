@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .session import ship, workspace
 
+FEW = 8
 MANIFEST = "step int, name string, buckets int"
 
 
@@ -54,12 +55,12 @@ class Store:
         self._pending = f"{self.steps:05d}_{uuid.uuid4().hex[:8]}"
 
     def write(self, df: DataFrame, table: str, bucket: Column | None = None) -> None:
-        """Write a table of the step under way; with ``bucket`` one folder per bucket."""
+        """Write a table of the step under way; with ``bucket`` one folder per bucket, of several files where a bucket is hot."""
         at = f"{self.path}/{table}/step={self._pending}"
         if bucket is None:
             df.write.parquet(at)
         else:
-            df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(at)
+            df.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(at)
 
     def publish(self) -> None:
         """Make the step under way count, all its tables at once."""
@@ -88,18 +89,21 @@ class Store:
             names.append(self._pending)
         if not names:
             return self.spark.createDataFrame([], schema)
+        columns = [c.split()[0] for c in schema.split(",")]
         parted = self.buckets and touched is not None
         rows = self.spark.read.schema(schema + (", bucket int" if parted else "")).option("basePath", f"{self.path}/{table}").parquet(*self._paths(table, names))
         if parted:
             rows = rows.where(F.col("bucket").isin(touched))
-        return rows.drop("step")
+        return rows.select(*columns)
 
-    def touched(self, keys: DataFrame) -> list[int]:
-        """The buckets that hold any of ``keys`` (key): at most ``buckets`` numbers."""
+    def touched(self, keys: DataFrame) -> list[int] | None:
+        """The buckets that hold any of ``keys`` (key): at most ``buckets`` numbers; None, all, where there are so few that asking costs more."""
+        if self.buckets <= FEW:
+            return None
         return sorted(r["b"] for r in keys.select(self.bucket(F.col("key")).alias("b")).distinct().collect())
 
 
-def bucket_count(rows: int, per_bucket: int = 500_000, most: int = 4096) -> int:
+def bucket_count(rows: int, per_bucket: int = 1_000_000, most: int = 4096) -> int:
     """Buckets for a store whose first step brings ``rows`` keys: a power of two, so that each holds some MB."""
     n = 1
     while n < most and n * per_bucket < rows:

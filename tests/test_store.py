@@ -46,7 +46,7 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
 
 
 def test_bucket_count():
-    assert bucket_count(0) == 1 and bucket_count(500_001) == 2 and bucket_count(10**13) == 4096
+    assert bucket_count(0) == 1 and bucket_count(1_000_001) == 2 and bucket_count(10**13) == 4096
 
 
 def test_no_local_folder_on_a_cluster(monkeypatch):
