@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timestamps import MONTH_NAMES, MONTH_SHORT
-from ..session import workspace
+from ..session import materialize
+from ..store import Store, bucket_count
 
 # Weekday names of the supported languages.
 WEEKDAYS = (
@@ -67,46 +68,59 @@ def article_lines(articles: DataFrame, *, key: str = "article_id", body: str = "
 
 
 class LineCounts:
-    """Per-source line counts in the shared folder, merged partition by partition."""
+    """Per-source line counts, a store to which each partition of articles adds its counts, and which can be opened again.
 
-    SEEN, LINES, COUNTS = "article_id bigint", "article_id bigint, line_no int, line_key bigint", "line_key bigint, n bigint"
+    Lines, counts and articles are parted by a hash of their key: a partition reads the parts its own
+    lines and articles fall into and no others.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, threshold: int = 3):
-        self.spark, self.path, self.threshold, self.parts = spark, path or workspace(spark, "lines"), threshold, 0
+    SEEN, LINES, COUNTS, FOUND = "key bigint", "line_key bigint, article_id bigint, line_no int", "line_key bigint, n bigint", "article_id bigint, line_no int"
 
-    def _read(self, name: str, schema: str, parts: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/part={parts}")
+    def __init__(self, spark: SparkSession, path: str | None = None, threshold: int = 3):
+        self.store, self.threshold = Store(spark, path, "lines"), threshold
+        self.path = self.store.path
 
     def merge(self, articles: DataFrame, **columns: str) -> None:
         """Add one partition of articles; counts, line table and result rows grow by what it brings."""
-        k, at = self.parts, f"part={self.parts:05d}"
-        lines = article_lines(articles, **columns).where(F.col("source").isNotNull()).select("article_id", "line_no", "line_key")
-        if k:
-            lines = lines.join(self._read("lines", self.LINES, "*").select("article_id").distinct(), "article_id", "left_anti")
+        store = self.store
         # The hash of the line stands for it: no text is shuffled. Equal redeliveries fall together.
-        lines.distinct().write.parquet(f"{self.path}/lines/{at}")
-        own = self._read("lines", self.LINES, at[5:])
+        lines = article_lines(articles, **columns).where(F.col("source").isNotNull()).select("line_key", "article_id", "line_no").distinct()
+        lines = materialize(lines, "lines-new")
+        ids = lines.select(F.col("article_id").alias("key")).distinct()
+        if not store.steps:
+            store.buckets = bucket_count(lines.count())
+            fresh = ids
+        else:
+            fresh = ids.join(store.read("seen", self.SEEN, store.touched(ids)).select("key"), "key", "left_anti")
+            fresh = materialize(fresh, "articles-new")
+            lines = lines.join(fresh.select(F.col("key").alias("article_id")), "article_id", "left_semi").select("line_key", "article_id", "line_no")
+        store.begin()
+        store.write(fresh, "seen", store.bucket(F.col("key")))
+        store.write(lines, "lines", store.bucket(F.col("line_key")))
+        own = store.read("lines", self.LINES, own=True)
         delta = own.select("line_key", "article_id").distinct().groupBy("line_key").agg(F.count("*").alias("n"))
-        if k:
-            before = self._read("counts", self.COUNTS, f"{k - 1:05d}")
-            both = before.select("line_key", "n", F.lit(0).cast("bigint").alias("d")).unionByName(delta.select("line_key", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("d")))
-            merged = both.groupBy("line_key").agg(F.sum("n").alias("old"), F.sum("d").alias("new"))
+        store.write(delta, "counts", store.bucket(F.col("line_key")))
+        delta = store.read("counts", self.COUNTS, own=True).select("line_key", F.col("n").alias("new"))
+        if store.steps:
+            before = store.read("counts", self.COUNTS, store.touched(delta.select(F.col("line_key").alias("key")))).select("line_key", "n")
+            old = before.join(delta.select("line_key"), "line_key", "left_semi").groupBy("line_key").agg(F.sum("n").alias("old"))
+            delta = delta.join(old, "line_key", "left")
         else:
-            merged = delta.select("line_key", F.lit(0).cast("bigint").alias("old"), F.col("n").alias("new"))
-        merged.select("line_key", (F.col("old") + F.col("new")).alias("n"), "old", "new").write.parquet(f"{self.path}/counts/{at}")
-        counts = self.spark.read.schema(self.COUNTS + ", old bigint, new bigint").parquet(f"{self.path}/counts/{at}")
-        hot = counts.where((F.col("n") >= self.threshold) & (F.col("new") > 0))
-        crossed = hot.where(F.col("old") < self.threshold).select("line_key")
-        known = hot.where(F.col("old") >= self.threshold).select("line_key")
-        found = self._read("lines", self.LINES, "*").join(crossed, "line_key", "left_semi")
-        if k:
-            found = found.unionByName(own.join(known, "line_key", "left_semi"))
-        found.select("article_id", "line_no").write.parquet(f"{self.path}/found/{at}")
-        self.parts += 1
+            delta = delta.withColumn("old", F.lit(None).cast("bigint"))
+        old = F.coalesce("old", F.lit(0))
+        hot = materialize(delta.where(old + F.col("new") >= self.threshold).select("line_key", (old < self.threshold).alias("crossed")), "lines-hot")
+        found = own.join(hot, "line_key", "left_semi")
+        if store.steps:
+            # Only lines that crossed the threshold now are looked up in what came before.
+            crossed = hot.where("crossed").select("line_key")
+            before = store.read("lines", self.LINES, store.touched(crossed.select(F.col("line_key").alias("key"))))
+            found = found.select("article_id", "line_no").unionByName(before.join(crossed, "line_key", "left_semi").select("article_id", "line_no"))
+        store.write(found.select("article_id", "line_no"), "found")
+        store.publish()
 
     def found(self) -> DataFrame:
         """(article_id, line_no) of all lines that stand in ``threshold`` or more articles of their source."""
-        return self._read("found", "article_id bigint, line_no int", "*")
+        return self.store.read("found", self.FOUND)
 
 
 def repeated_lines(articles: DataFrame, *, threshold: int = 3, arrival: str | None = "fetched_at", steps: tuple[float, ...] = (0.7, 0.85)) -> DataFrame:

@@ -44,6 +44,23 @@ def test_repeated_lines_brute_force(spark, data):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_line_counts_are_kept_and_opened_again(spark, data, tmp_path):
+    """Two objects on one path, one partition each, give what one pass gives; a broken step leaves nothing."""
+    articles = read(spark, data, "preprocessed_articles")
+    half = F.pmod(F.xxhash64("article_id"), F.lit(2)) == 0
+    at = f"file://{tmp_path}/lines"
+    lines.LineCounts(spark, at).merge(articles.where(half))
+    broken = lines.LineCounts(spark, at)
+    broken.store.begin()
+    broken.store.write(spark.createDataFrame([(1, 1)], "line_key long, n long"), "counts")
+    again = lines.LineCounts(spark, at)
+    assert again.store.steps == 1
+    again.merge(articles)  # the first half comes again and is passed over
+    got = [tuple(r) for r in lines.LineCounts(spark, at).found().collect()]
+    want = {tuple(r) for r in lines.repeated_lines(articles, steps=()).collect()}
+    assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize(
     "a,b,same",
     [
@@ -154,7 +171,7 @@ def test_history(spark):
     want = {(1, 3), (1, 4), (1, 6), (1, 7)}
     got = {tuple(r) for r in history.first_reports(records(spark, rows)).collect()}
     assert got == want | {(2, 12)}
-    assert {tuple(r) for r in history.first_reports(records(spark, rows), steps=10).collect()} == got
+    assert {tuple(r) for r in history.first_reports(records(spark, [(r[0], 0, *r[2:]) for r in rows])).collect()} == got
     assert history.first_reports(records(spark, rows).limit(0)).count() == 0
 
 
@@ -180,6 +197,18 @@ def test_history_finds_every_slip(spark):
     assert {tuple(r) for r in history.first_reports(records(spark, rows)).collect()} == want
 
 
+def test_history_is_kept_and_opened_again(spark, data, tmp_path):
+    """One object a batch on one path gives what one object gives in one step."""
+    rows = read(spark, data, "corpus_records").where("batch_id < 4")
+    at = f"file://{tmp_path}/history"
+    for n in range(4):
+        history.History(spark, at).add(rows.where(F.col("batch_id") == n))
+    again = history.History(spark, at)
+    assert again.store.steps == 4
+    want = {tuple(r) for r in history.first_reports(rows.withColumn("batch_id", F.lit(0))).collect()}
+    assert {tuple(r) for r in again.reports().collect()} == want and want
+
+
 def test_history_copies_and_long_titles(spark):
     rows = [(i, i % 3, "Same headline of one report again", "https://a.example/same", "A") for i in range(300)] + [(1000, 1, "word " * 20_000, "https://a.example/" + "p" * 100_000, "A")]
     got = history.first_reports(records(spark, rows + rows[:5])).collect()
