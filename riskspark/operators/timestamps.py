@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small_side
 from ..store import Store, bucket_count
 
 # Month names of the supported languages, by month.
@@ -231,7 +231,8 @@ class TimestampDictionary:
         else:
             new = materialize(new, "timestamps-new")
             known = store.read("entries", DICT_SCHEMA, store.touched(new)).select("key", *_PARTS)
-            new = new.join(known, ["key", *_PARTS], "left_anti")
+            hits = known.join(small_side(new), ["key", *_PARTS], "left_semi")
+            new = new.join(hits, ["key", *_PARTS], "left_anti")
         store.begin()
         store.write(new.mapInPandas(parse_batches, DICT_SCHEMA), "entries", store.bucket(F.col("key")))
         store.publish()

@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -77,6 +80,24 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def at_once(*jobs: Callable[[], object]) -> None:
+    """Run jobs that do not depend on each other at the same time; the first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+
+
+MOST_SENT = 400_000
+
+
+def small_side(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast in a join if it has at most ``most`` rows; else left to a shuffle.
+
+    So a small batch meets a long history without moving it.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 FEW_FILES = 16
 
 
