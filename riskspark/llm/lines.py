@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timestamps import MONTH_NAMES, MONTH_SHORT
-from ..session import materialize
+from ..session import at_once, materialize, small_side
 from ..store import Store, bucket_count
 
 # Weekday names of the supported languages.
@@ -91,19 +91,19 @@ class LineCounts:
             store.buckets = bucket_count(lines.count())
             fresh = ids
         else:
-            fresh = ids.join(store.read("seen", self.SEEN, store.touched(ids)).select("key"), "key", "left_anti")
-            fresh = materialize(fresh, "articles-new")
+            ids = materialize(ids, "articles-new")
+            known = store.read("seen", self.SEEN, store.touched(ids)).join(small_side(ids), "key", "left_semi")
+            fresh = materialize(ids.join(known, "key", "left_anti"), "articles-new")
             lines = lines.join(fresh.select(F.col("key").alias("article_id")), "article_id", "left_semi").select("line_key", "article_id", "line_no")
         store.begin()
-        store.write(fresh, "seen", store.bucket(F.col("key")))
-        store.write(lines, "lines", store.bucket(F.col("line_key")))
+        at_once(lambda: store.write(fresh, "seen", store.bucket(F.col("key"))), lambda: store.write(lines, "lines", store.bucket(F.col("line_key"))))
         own = store.read("lines", self.LINES, own=True)
         delta = own.select("line_key", "article_id").distinct().groupBy("line_key").agg(F.count("*").alias("n"))
         store.write(delta, "counts", store.bucket(F.col("line_key")))
         delta = store.read("counts", self.COUNTS, own=True).select("line_key", F.col("n").alias("new"))
         if store.steps:
             before = store.read("counts", self.COUNTS, store.touched(delta.select(F.col("line_key").alias("key")))).select("line_key", "n")
-            old = before.join(delta.select("line_key"), "line_key", "left_semi").groupBy("line_key").agg(F.sum("n").alias("old"))
+            old = before.join(small_side(delta.select("line_key")), "line_key", "left_semi").groupBy("line_key").agg(F.sum("n").alias("old"))
             delta = delta.join(old, "line_key", "left")
         else:
             delta = delta.withColumn("old", F.lit(None).cast("bigint"))
@@ -114,7 +114,7 @@ class LineCounts:
             # Only lines that crossed the threshold now are looked up in what came before.
             crossed = hot.where("crossed").select("line_key")
             before = store.read("lines", self.LINES, store.touched(crossed.select(F.col("line_key").alias("key"))))
-            found = found.select("article_id", "line_no").unionByName(before.join(crossed, "line_key", "left_semi").select("article_id", "line_no"))
+            found = found.select("article_id", "line_no").unionByName(before.join(small_side(crossed), "line_key", "left_semi").select("article_id", "line_no"))
         store.write(found.select("article_id", "line_no"), "found")
         store.publish()
 
