@@ -324,15 +324,91 @@ def test_hamming_blocks_find_all_within_radius():
         assert table.candidates(ws[10:30])[i] >= {0}
 
 
+ODD_PAGES = [
+    (900_001, "cheap copper buy copper best zinc top copper zinc deal order copper " * 20), (900_002, None), (900_003, ""), (900_004, "  \n"), (900_005, "\n".join(f"https://x.example/tag/{i}" for i in range(30))), (900_006, "#buyZinc #topZinc #zinc #zincNow " * 10),
+    (900_007, "Buy zinc from Acme because zinc is the best zinc and zinc price is low zinc price. " * 6), (900_008, "\n".join(f"Vessel {i} | 0{i % 9} May 06:00 | berth {i} | {i * 37} TEU" for i in range(30))),
+]
+
+
 def test_spam(spark, data):
     documents = read(spark, data, "documents")
-    odd = [
-        (900_001, "cheap copper buy copper best zinc top copper zinc deal order copper " * 20), (900_002, None), (900_003, ""), (900_004, "  \n"), (900_005, "\n".join(f"https://x.example/tag/{i}" for i in range(30))), (900_006, "#buyZinc #topZinc #zinc #zincNow " * 10),
-        (900_007, "Buy zinc from Acme because zinc is the best zinc and zinc price is low zinc price. " * 6), (900_008, "\n".join(f"Vessel {i} | 0{i % 9} May 06:00 | berth {i} | {i * 37} TEU" for i in range(30))),
-    ]
-    more = spark.createDataFrame(odd, "doc_id long, text string")
+    more = spark.createDataFrame(ODD_PAGES, "doc_id long, text string")
     got = {r.doc_id for r in spam.spam_pages(documents.select("doc_id", "text").unionByName(more)).collect()}
     assert {i for i in got if i >= 900_000} == {900_001, 900_005, 900_006, 900_007}
     assert spam.spam_pages(documents.limit(0)).count() == 0
-    clash = more.withColumns({"spam": F.lit(1), "words": F.lit(2), "kind": F.lit(3)})
+    clash = more.withColumns({"spam": F.lit(1), "words": F.lit(2), "kind": F.lit(3), "copies": F.lit(4), "h": F.lit("h")})
     assert spam.spam_share(clash).count() == 7
+
+
+def salad_corpus(n):
+    """``n`` coherent texts, some texts of the same words in random order without end or set as sentences, and a list that repeats."""
+    rng = np.random.default_rng(3)
+    chains = [[f"{a}{i}" for i in "abcdefgh"] for a in ("re", "lo", "mi", "fa", "so", "ut")]
+    flow = lambda: " ".join(" ".join(["The", *chains[rng.integers(6)]]) + "." for _ in range(12))
+    every = [w for c in chains for w in c]
+    rows = [(i, flow()) for i in range(n)]
+    rows += [(10_000 + i, " ".join(rng.choice(every, 90))) for i in range(5)]
+    rows += [(20_000 + i, " ".join("The " + " ".join(rng.choice(every, 9)) + "." for _ in range(12))) for i in range(5)]
+    rows += [(30_000, "fa a la carte " * 30), (30_001, " ".join(" ".join(c) for c in chains + chains[::-1]))]
+    return rows
+
+
+@pytest.mark.parametrize("n", [200, 2000])
+def test_spam_by_coherence_at_any_size(spark, n):
+    """Salad without any repeated keyword, loose or set as sentences, and a coherent text that repeats one line; the same at ten times the corpus."""
+    rows = spark.createDataFrame(salad_corpus(n), "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in spam.spam_pages(rows).collect()}
+    assert got == {10_000 + i for i in range(5)} | {20_000 + i for i in range(5)} | {30_000}
+    # Without coherence only what repeats itself is left; without repetition the list is missed.
+    assert {r.doc_id for r in spam.spam_pages(rows, salad=-9.0, hopeless=-9.0).collect()} == {30_000}
+    assert 30_000 not in {r.doc_id for r in spam.spam_pages(rows, often=2.0).collect()}
+
+
+def test_spam_with_few_known_pairs(spark, data):
+    """The verdicts hardly move when an eighth of the pairs may be known, or the corpus is there twice under other words."""
+    documents = read(spark, data.replace("0.001", "0.01"), "documents").select("doc_id", "text")
+    want = {r.doc_id for r in spam.spam_pages(documents).collect()}
+    few = {r.doc_id for r in spam.spam_pages(documents, most_pairs=1 << 16).collect()}
+    twice = documents.unionByName(documents.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat("text", F.lit(" Ende.")).alias("text")))
+    more = {r.doc_id for r in spam.spam_pages(twice).collect()}
+    assert len(want) > 40 and len(want ^ few) <= 0.1 * len(want) and len(want ^ {i for i in more if i < 1_000_000}) <= 0.15 * len(want)
+
+
+def closing_corpus(odd_close):
+    """Texts of two sources: one cuts at 400 letters, and whole texts of both may end in a word, not in a stop."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("bdfglmnprstvz"), rng.integers(2, 6))) + rng.choice(["on", "er", "al"])
+    known = [word() for _ in range(300)]
+    rows, cut, close, stops = [], set(), set(), set()
+    for i in range(1500):
+        text = ""
+        want = int(np.exp(rng.normal(5.9, 0.35)))
+        while len(text) < want:
+            text += " ".join(rng.choice(known, 8)).capitalize() + " the end of it. "
+        text = text.strip()
+        if i % 2 and len(text) > 400:
+            text = text[:400]
+            (stops if truncation.ending(text) == "stop" else cut).add(i)
+        elif rng.random() < odd_close:
+            text += " " + " ".join(rng.choice(known, 3)).capitalize()
+            if i % 2 and len(text) == 400:
+                text += "x"
+            close.add(i)
+        rows.append((i, "a" if i % 2 else "b", "T", text, None))
+    return rows, cut, close, stops
+
+
+def test_length_and_ending_both_decide(spark):
+    schema = "article_id long, source string, clean_title string, clean_body string, fetched_at timestamp_ntz"
+    rows, cut, close, stops = closing_corpus(0.1)
+    got = {r.article_id for r in truncation.truncated(spark.createDataFrame(rows, schema)).collect()}
+    at_words = {i for i in cut if re.search(r"(?:on|er|al)$", rows[i][3])}
+    assert at_words and close
+    # The same ending, a common word without a stop: cut at the limit, whole elsewhere; a stop at the limit is whole.
+    assert len(got & cut) >= 0.99 * len(cut) and len(got & close) <= 0.05 * len(close) and not got & stops
+    # Where whole texts always end with a stop, the same endings are cuts in mid-transfer anywhere.
+    rows, cut, _, stops = closing_corpus(0)
+    moved = [(i, s, t, b[: len(b) - 7 - i % 20] if i % 50 == 0 else b, f) for i, s, t, b, f in rows]
+    mid = {i for i in range(0, 1500, 50) if truncation.ending(moved[i][3]) == "open"}
+    got = {r.article_id for r in truncation.truncated(spark.createDataFrame(moved, schema)).collect()}
+    assert len(got & mid) >= 0.95 * len(mid) and len(got & cut) >= 0.99 * len(cut) and not got - cut - mid
