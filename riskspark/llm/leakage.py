@@ -1,11 +1,12 @@
 """Evaluation passages inside a training corpus.
 
-Documents are cut into windows of the size of an item and of a short run. Windows get SimHash
-fingerprints: item-sized ones are compared with the fingerprints of all items (a stated query set), run-sized
-ones are looked up in a multi-index of Hamming blocks, of which at least one agrees exactly for all fingerprints within
-``RADIUS``. Counts of shared words add every item that could have half of its words in the document, which
-fingerprints may miss. Candidates are verified on the words themselves: a run of consecutive words, or half
-of the item's words in order within a stretch of about its length, or two that do not overlap.
+Documents are cut into windows of the size of an item and of a short run. Windows get SimHash fingerprints,
+which are looked up in multi-indexes of Hamming blocks, of which at least one agrees exactly for all fingerprints
+within the radius: so no window is compared with all items. Half of an item's words leave fingerprints too far apart
+for any block, so an index of each item's rarer words adds what fingerprints miss: a document that holds half of an
+item's words must hold as many of the rarer ones as are left when all others are there. Candidates are verified on
+the words themselves: a run of consecutive words, or half of the item's words in order within a stretch of about its
+length, or two that do not overlap.
 
 Fingerprints stand for words alone: case, punctuation, spacing, markup, line breaks, hyphens at line ends and
 invisible characters are gone before. The items are broadcast; ``find_leaks`` refuses more than ``max_items``.
@@ -30,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, RADIUS, BITS = 12, 3, 64
-WIDE_BITS, WIDE_RADIUS = 128, 50
-RARE = 0.9  # least weight of a rare word: in fewer than 2 of 5 documents
+WIDE_BITS, WIDE_BLOCKS = 128, 8
+COMMON = 0.35  # share of an item's words that counts as its common ones; must be below a half
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|section|article|pre|hr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->", re.I | re.S)
 _WRAP = re.compile(r"[-‐‑­]\s*\n[\s>|*]*")
 _INSIDE = re.compile(r"(?<=\w)[-‐‑–'’_](?=\w)|(?<=\d)[.,](?=\d)")
 _MARK = re.compile(r"[*_~`#]+")
+_PLAIN = re.compile(r"\w+")
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -123,6 +125,33 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
 
 
+class Blocks:
+    """A multi-index of fingerprints: all within ``count`` - 1 bits of an entry agree with it in one of ``count`` blocks of 16 bits."""
+
+    def __init__(self, prints: np.ndarray, count: int):
+        self.prints, self.count, self.tables = prints, count, []
+        for value in self._cut(prints).T:
+            order = np.argsort(value, kind="stable")
+            self.tables.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), order))
+
+    def _cut(self, prints: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(prints).view(np.uint16).reshape(-1, self.count).astype(np.int64)
+
+    def near(self, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``got``, entry) of all within the radius."""
+        rows, entries = [], []
+        if len(self.prints) and len(got):
+            for value, (first, order) in zip(self._cut(got).T, self.tables):
+                if (first[value + 1] > first[value]).any():
+                    row, place = _spread(first[value], first[value + 1])
+                    entry = order[place]
+                    close = np.bitwise_count(got[row] ^ self.prints[entry]).reshape(len(row), -1).sum(axis=1) < self.count
+                    rows.append(row[close])
+                    entries.append(entry[close])
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate(rows or [none]), np.concatenate(entries or [none])
+
+
 class Items:
     """Fingerprints of items and their windows, and what verifies candidates."""
 
@@ -137,45 +166,38 @@ class Items:
         wide = np.stack([_signs(w, WIDE_BITS) for w in self.vocabulary]).astype(np.float32) if self.vocabulary else np.zeros((n, WIDE_BITS), np.float32)
         self.wide = wide * self.weight[:, None] if self.vocabulary else wide
         self.runs = [{tuple(ws[i : i + RUN]) for i in range(len(ws) - RUN + 1)} for ws in self.words]
-        # An item's rare words are the rarer half of its words: a share, so that it holds however often items leak.
-        self.rare = [self._rarer(set(ws), weight, default) for ws in self.words]
-        every = set().union(*self.rare) if self.rare else set()
-        self.scarce = np.array([w in every for w in self.vocabulary]) if self.vocabulary else np.zeros(n, dtype=bool)
         prints, owner = [], []
         for k, ws in enumerate(self.words):
             if len(ws) >= RUN:
                 at = np.arange(len(ws) - RUN + 1)
                 prints.append(_fingerprints(self.signs[[self.code[w] for w in ws]], at, at + RUN)[:, 0])
                 owner += [k] * len(at)
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.owner = np.array(owner, dtype=np.int32)
-        # One table per block: fingerprints within RADIUS agree in at least one of RADIUS + 1 blocks.
-        self.blocks, size = [], BITS // (RADIUS + 1)
-        for b in range(RADIUS + 1):
-            value = ((self.prints >> np.uint64(b * size)) & np.uint64((1 << size) - 1)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            self.blocks.append((np.searchsorted(value[order], np.arange((1 << size) + 1)), order))
+        self.runs_at = Blocks(np.concatenate(prints) if prints else np.zeros(0, np.uint64), RADIUS + 1)
+        self.owner = np.array(owner, dtype=np.int64)
         lengths = np.array([len(w) for w in self.words])
         self.sizes = sorted({int(16 * 1.35**j) for j in range(1, 40) if lengths.size and 16 * 1.35**j <= lengths.max() * 1.35}) or [32]
         self.whole = np.stack([self._whole(ws) for ws in self.words]) if self.words else np.zeros((0, WIDE_BITS // 64), np.uint64)
-        # Words that an item has m times stand for m features, so that the features shared with a text bound what can stand in order.
+        self.need = np.array([math.ceil(n / 2) if n >= RUN else n for n in lengths], dtype=np.int64)
+        # Words that an item has m times stand for m features. Its most usual words, COMMON of all, are passed over: what is
+        # still needed when all of them are there must come from the others, whatever is usual in the corpus.
         held: list[list[int]] = [[] for _ in self.vocabulary]
+        self.least = self.need.copy()
         for k, ws in enumerate(self.words):
-            for w, m in Counter(ws).items():
-                held[self.code[w]] += [k, m]
-        most = np.array([max(h[1::2]) for h in held], dtype=np.int64)
+            spare = int(COMMON * len(ws)) if len(ws) >= RUN else 0
+            for w, m in sorted(Counter(ws).items(), key=lambda x: (weight.get(x[0], default), x[0])):
+                if m <= spare:
+                    spare -= m
+                    self.least[k] -= m
+                else:
+                    spare = 0
+                    held[self.code[w]] += [k, m]
+        most = np.array([max(h[1::2], default=0) for h in held], dtype=np.int64)
         self.feature = np.r_[0, np.cumsum(most)]
         listed = [[k for k, m in zip(h[::2], h[1::2]) if m > level] for h, top in zip(held, most) for level in range(top)]
         self.first = np.r_[0, np.cumsum([len(x) for x in listed], dtype=np.int64)].astype(np.int64)
         self.holders = np.array([k for x in listed for k in x], dtype=np.int64)
-        self.need = np.array([math.ceil(n / 2) if n >= RUN else n for n in lengths], dtype=np.int64)
         self.size_of = np.array([min(self.sizes, key=lambda s: abs(math.log(s / max(1, n)))) for n in lengths]) if len(lengths) else np.zeros(0)
-
-    @staticmethod
-    def _rarer(words: set[str], weight: dict[str, float], default: float) -> set[str]:
-        own = {w: weight.get(w, default) for w in words}
-        middle = sorted(own.values())[len(own) // 2]
-        return {w for w, x in own.items() if x >= max(middle, RARE)}
+        self.sized = {size: (of, Blocks(self.whole[of], WIDE_BLOCKS)) for size in self.sizes if len(of := np.flatnonzero(self.size_of == size))}
 
     def _whole(self, ws: list[str]) -> np.ndarray:
         return _fingerprints(self.wide[[self.code[w] for w in ws]], np.array([0]), np.array([len(ws)]))[0]
@@ -187,46 +209,27 @@ class Items:
         known = np.r_[0, np.cumsum(codes >= 0)]
         if n == 0 or known[-1] < min(RUN, n) // 2:
             return out
-        scarce = np.r_[0, np.cumsum(np.where(codes >= 0, self.scarce[codes], False))]
         starts = np.arange(max(0, n - RUN + 1))
         starts = starts[known[starts + RUN] - known[starts] >= RUN - RADIUS] if len(starts) else starts
-        if len(starts) and len(self.prints):
-            safe = np.where(codes[:, None] >= 0, self.signs[codes], 0)
-            got = _fingerprints(safe, starts, starts + RUN)[:, 0]
-            size = BITS // (RADIUS + 1)
-            for b, (first, order) in enumerate(self.blocks):
-                value = ((got >> np.uint64(b * size)) & np.uint64((1 << size) - 1)).astype(np.int64)
-                many = first[value + 1] - first[value]
-                if not many.any():
-                    continue
-                row = np.repeat(np.arange(len(got)), many)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[value], many)
-                entry = order[place]
-                near = np.bitwise_count(got[row] ^ self.prints[entry]) <= RADIUS
-                for k, at in set(zip(self.owner[entry[near]].tolist(), starts[row[near]].tolist())):
-                    out.setdefault(k, set()).add(at)
+        if len(starts) and len(self.owner):
+            got = _fingerprints(np.where(codes[:, None] >= 0, self.signs[codes], 0), starts, starts + RUN)
+            row, entry = self.runs_at.near(got[:, 0])
+            for k, at in set(zip(self.owner[entry].tolist(), starts[row].tolist())):
+                out.setdefault(k, set()).add(at)
         weighed = None
-        for size in self.sizes:
-            of = np.flatnonzero(self.size_of == size)
-            if not len(of):
-                continue
+        for size, (of, index) in self.sized.items():
             low = np.unique(np.r_[np.arange(0, max(1, n - size + 1), max(1, size // 6)), max(0, n - size)])
             high = np.minimum(low + size, n)
-            # Half of an item's words bring rare words along; windows of common words alone are passed over.
-            low_ok = (scarce[high] - scarce[low]) >= 0.1 * size
-            low, high = low[low_ok], high[low_ok]
-            if not len(low):
-                continue
-            if weighed is None:
-                weighed = np.where(codes[:, None] >= 0, self.wide[codes], 0)
-            got = _fingerprints(weighed, low, high)
-            far = np.bitwise_count(got[:, None, :] ^ self.whole[of][None, :, :]).sum(axis=2)
-            for r, c in zip(*np.nonzero(far <= WIDE_RADIUS)):
-                out.setdefault(int(of[c]), set()).add(int(low[r]))
+            full = known[high] - known[low] >= size // 2  # nearly the whole item, or the fingerprints are not near
+            if full.any():
+                weighed = np.where(codes[:, None] >= 0, self.wide[codes], 0) if weighed is None else weighed
+                row, entry = index.near(_fingerprints(weighed, low[full], high[full]))
+                for k, at in zip(of[entry].tolist(), low[full][row].tolist()):
+                    out.setdefault(k, set()).add(at)
         return out
 
     def countable(self, words: list[str]) -> set[int]:
-        """All items with which the document shares as many words as must stand in order, repeated ones as often as in both."""
+        """All items of whose rarer words the document holds as many as must be there if half of all stand in order."""
         codes = np.array([c for w in words if (c := self.code.get(w)) is not None], dtype=np.int64)
         if not len(codes):
             return set()
@@ -235,7 +238,7 @@ class Items:
         _, feature = _spread(self.feature[code], top)
         _, place = _spread(self.first[feature], self.first[feature + 1])
         shared = np.bincount(self.holders[place], minlength=len(self.words))
-        return set(np.flatnonzero(shared >= self.need).tolist())
+        return set(np.flatnonzero(shared >= np.maximum(self.least, 1)).tolist())
 
     def holds(self, k: int, words: list[str], grams: set[tuple[str, ...]]) -> bool:
         """Whether the document, with its ``grams`` of RUN words, holds the item.
@@ -305,7 +308,9 @@ class Items:
 
 
 def _document_words(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """Number of documents that hold each word of the items: as many rows as the items have words."""
+    """Number of documents that hold each word of the items: as many rows as the items have words.
+
+    Dress is not taken off here: the counts weigh words, and no candidate is lost by them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
@@ -313,7 +318,7 @@ def _document_words(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[st
         for part in batches:
             for t in part["text"]:
                 n += 1
-                for w in vocabulary.intersection(plain_words(t)):
+                for w in vocabulary.intersection(_PLAIN.findall(t.lower())):
                     seen[w] = seen.get(w, 0) + 1
         yield pd.DataFrame({"word": [*seen, ""], "n": [*seen.values(), n]})
 

@@ -371,7 +371,7 @@ def test_spam_with_few_known_pairs(spark, data):
     few = {r.doc_id for r in spam.spam_pages(documents, most_pairs=1 << 16).collect()}
     twice = documents.unionByName(documents.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat("text", F.lit(" Ende.")).alias("text")))
     more = {r.doc_id for r in spam.spam_pages(twice).collect()}
-    assert len(want) > 40 and len(want ^ few) <= 0.1 * len(want) and len(want ^ {i for i in more if i < 1_000_000}) <= 0.15 * len(want)
+    assert len(want) > 40 and len(want ^ few) <= 0.15 * len(want) and len(want ^ {i for i in more if i < 1_000_000}) <= 0.15 * len(want)
 
 
 def closing_corpus(odd_close):
