@@ -14,14 +14,36 @@ def extractive_summary(chosen: Column, body: Column) -> Column:
     return F.array_join(F.when(F.size(chosen) > 0, chosen).otherwise(first), " ||| ")
 
 
+def primary_domain(domains: Column) -> Column:
+    """The first disruption domain, else none."""
+    return F.coalesce(F.get(F.filter(F.coalesce(domains, F.array().cast("array<string>")), lambda d: F.trim(d) != ""), 0), F.lit("none"))
+
+
 def corpus_record(articles: DataFrame) -> DataFrame:
-    """Labels of articles (clean_title, clean_body, relevance_score, trust_score, impact_level, matched_entities)."""
-    body = F.coalesce(F.col("clean_body"), F.lit(""))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("relevance_score") / F.lit(100.0))), 6)
+    """The sixteen fields of a corpus record, with article_id and run_id.
+
+    ``articles``: title or clean_title, clean_body, relevance_score, trust_score, impact_level, and, where they are there,
+    disruption_domains, mmr_sentences, ner_entities (or entities; structs of text and label), semantic_category,
+    score_breakdown and cluster_id. What is missing or null gets the field's default.
+    """
+    have = set(articles.columns)
+    take = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), default) if c in have else default
+    text = lambda c: take(c, "string", F.lit(""))
+    body = text("clean_body")
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), take("relevance_score", "double", F.lit(0.0)) / F.lit(100.0))), 6)
+    none = F.array().cast("array<string>")
+    tags = next((c for c in ("ner_entities", "entities") if c in have), None)
+    ner = F.transform(F.col(tags), lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label"))) if tags else None
+    empty = F.array().cast("array<struct<text:string,label:string>>")
+    level = F.upper(F.coalesce(F.nullif(text("impact_level"), F.lit("")), F.lit("LOW")))
+    trust = F.coalesce(F.nullif(take("trust_score", "double", F.lit(0.5)), F.lit(0.0)), F.lit(0.5))
+    title = text("title") if "title" in have else text("clean_title")
     return articles.select(
-        "article_id", "run_id", F.col("clean_title").alias("title"), "source", F.coalesce("trust_score", F.lit(0.5)).alias("trust_score"), industry(F.concat_ws(" ", "clean_title", body)).alias("industry_label"),
-        score.alias("risk_score_norm"), extractive_summary(F.array().cast("array<string>"), F.col("clean_body")).alias("extractive_summary"), F.coalesce(F.size("matched_entities"), F.lit(0)).alias("entities"),
-        F.when(F.upper("impact_level").isin("HIGH", "MEDIUM"), 1).otherwise(0).alias("is_relevant"), F.upper("impact_level").alias("impact_level"), word_count(body).alias("word_count"),
+        "article_id", "run_id", title.alias("title"), text("url").alias("url"), text("published").alias("published"), text("source").alias("source"), trust.alias("trust_score"),
+        industry(F.concat_ws(" ", title, body)).alias("industry_label"), primary_domain(F.col("disruption_domains") if "disruption_domains" in have else none).alias("disruption_domain"), score.alias("risk_score_norm"),
+        extractive_summary(take("mmr_sentences", "array<string>", none), body).alias("extractive_summary"), (F.coalesce(ner, empty) if tags else empty).alias("ner_tags"),
+        F.when(level.isin("HIGH", "MEDIUM"), 1).otherwise(0).alias("is_relevant"), level.alias("impact_level"), text("semantic_category").alias("semantic_category"),
+        take("score_breakdown", "map<string,int>", F.create_map().cast("map<string,int>")).alias("score_breakdown"), take("cluster_id", "int", F.lit(-1)).alias("cluster_id"), word_count(body).alias("word_count"),
     )
 
 

@@ -25,24 +25,15 @@ def explode_profile(profiles: DataFrame) -> dict[str, DataFrame]:
 
 
 def exposure_nodes(profiles: DataFrame) -> DataFrame:
-    """(client_id, node_type, node, pos, names): suppliers, then materials, then logistics nodes, each name once."""
+    """(client_id, node_type, node, pos): suppliers, then materials, then logistics nodes as the profile names them, each once."""
     parts = explode_profile(profiles)
     one = parts["suppliers"].select("client_id", F.lit("supplier").alias("node_type"), F.col("name").alias("node"), F.lit(0).alias("k"), "pos")
     two = parts["materials"].select("client_id", F.lit("material").alias("node_type"), F.col("commodity").alias("node"), F.lit(1).alias("k"), "pos")
     three = parts["nodes"].select("client_id", F.coalesce("type", F.lit("node")).alias("node_type"), F.col("name").alias("node"), F.lit(2).alias("k"), "pos")
     every = one.unionByName(two).unionByName(three).where(F.trim(F.coalesce("node", F.lit(""))) != "")
-    firsts = every.groupBy("client_id", "node_type", "node").agg(F.min(F.col("k") * 1000 + F.col("pos")).cast("int").alias("pos"))
-    return firsts.withColumn("names", F.array("node"))
-
-
-def exposure_places(profiles: DataFrame) -> DataFrame:
-    """(client_id, kind, name): countries and cities of suppliers and regions of materials."""
-    parts = explode_profile(profiles)
-    s = parts["suppliers"]
-    countries = s.select("client_id", F.lit("country").alias("kind"), F.col("country").alias("name"))
-    cities = s.select("client_id", F.lit("city").alias("kind"), F.col("city").alias("name"))
-    regions = parts["materials"].select("client_id", F.lit("city").alias("kind"), F.col("region").alias("name"))
-    return countries.unionByName(cities).unionByName(regions).where(F.trim(F.coalesce("name", F.lit(""))) != "").distinct()
+    firsts = every.groupBy("client_id", "node_type", "node").agg(F.min(F.struct("k", "pos")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("client_id").orderBy("o", "node_type", "node")) - 1
+    return firsts.select("client_id", "node_type", "node", place.cast("int").alias("pos"))
 
 
 def resolve_names(names: DataFrame, dimension: DataFrame, *, name: str, key: str, aliases: str | None = None, pos: str = "pos") -> DataFrame:
@@ -52,11 +43,6 @@ def resolve_names(names: DataFrame, dimension: DataFrame, *, name: str, key: str
     return names.join(first, F.lower(F.trim(F.col(name))) == F.col("_alias"), "left").drop("_alias")
 
 
-def top_producers(materials: DataFrame, n: int = 3) -> DataFrame:
-    """(material, pos, country) of the first ``n`` producers of each material."""
-    return materials.select("material", F.posexplode(F.slice("top_producers", 1, n)).alias("pos", "country"))
-
-
 def first_seen(rows: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
     """Distinct values in order of first sight, numbered from 0 within ``by``."""
     firsts = rows.where(F.trim(F.coalesce(value, F.lit(""))) != "").groupBy(*by, F.trim(F.col(value)).alias(value)).agg(F.min(order).alias("_o"))
@@ -67,33 +53,6 @@ def quoted(terms: list[str]) -> str:
     return " OR ".join(f'"{t}"' for t in terms)
 
 
-def generate_queries(profiles: DataFrame, *, lexicon: dict[str, list[str]] | None = None, limit: int = 400, cities: int = 3) -> DataFrame:
-    """(client_id, pos, query): entity, city, commodity and origin queries, each text once, in that order.
-
-    A city query longer than ``limit`` with all terms is split into one for each domain.
-    """
-    lexicon = lexicon or X.SAMPLE_LEXICON
-    parts = explode_profile(profiles)
-    nodes = exposure_nodes(profiles)
-    entity = nodes.where(F.col("node_type") != "material").select("client_id", F.col("node").alias("query"), F.struct(F.lit(0).alias("a"), F.col("pos").alias("b"), F.lit(0).alias("c")).alias("o"))
-    town = parts["suppliers"].where(F.col("city") != "").groupBy("client_id", "country", "city").agg(F.min("pos").alias("pos"))
-    town = town.withColumn("r", F.row_number().over(Window.partitionBy("client_id", "country").orderBy("pos"))).where(F.col("r") <= cities)
-    every = quoted([t for terms in lexicon.values() for t in terms])
-    head = F.concat(F.lit('"'), F.col("city"), F.lit('" AND ('))
-    full = F.concat(head, F.lit(every), F.lit(")"))
-    split = F.array(*[F.concat(head, F.lit(quoted(terms)), F.lit(")")) for terms in lexicon.values()])
-    geo = town.select("client_id", "pos", F.posexplode(F.when(F.length(full) <= limit, F.array(full)).otherwise(split)).alias("d", "query"))
-    geo = geo.select("client_id", "query", F.struct(F.lit(1).alias("a"), F.col("pos").alias("b"), F.col("d").alias("c")).alias("o"))
-    goods = parts["materials"].where(F.trim(F.coalesce("commodity", F.lit(""))) != "")
-    named = F.concat(F.lit('"'), F.col("commodity"), F.lit('" AND ('), F.lit(quoted(X.COMMODITY_TERMS)), F.lit(")"))
-    commodity = goods.select("client_id", named.alias("query"), F.struct(F.lit(2).alias("a"), F.col("pos").alias("b"), F.lit(0).alias("c")).alias("o"))
-    origin = goods.where(F.trim(F.coalesce("region", F.lit(""))) != "").select(
-        "client_id", F.concat(F.lit('"'), F.col("region"), F.lit('" AND "'), F.col("commodity"), F.lit('" AND ('), F.lit(quoted(X.ORIGIN_TERMS)), F.lit(")")).alias("query"),
-        F.struct(F.lit(2).alias("a"), F.col("pos").alias("b"), F.lit(1).alias("c")).alias("o"),
-    )
-    return first_seen(entity.unionByName(geo).unionByName(commodity).unionByName(origin), ["client_id"], "query", F.col("o")).select("client_id", "pos", "query")
-
-
 def country_queries(countries: DataFrame, column: str = "country", limit: int = 500) -> DataFrame:
     """One query per country with the terms of disruptions, cut at the length the service takes."""
     return countries.select(column, F.substring(F.concat(F.lit('"'), F.col(column), F.lit(f'" AND ({quoted(X.COUNTRY_TERMS)})')), 1, limit).alias("query"))

@@ -24,8 +24,8 @@ def min_labels(links: DataFrame, *, rounds: int = 60) -> DataFrame:
         changed = new.where(F.col("new") < F.col("label")).limit(1).count()
         labels = new.select("id", F.col("new").alias("label"))
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def density_clusters(items: DataFrame, pairs: DataFrame, *, key: str = "vec_id", min_samples: int = 2) -> DataFrame:

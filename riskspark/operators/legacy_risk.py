@@ -29,10 +29,14 @@ def propagation(domain: Column, industries: Column) -> Column:
     return F.least(F.lit(10.0), base + F.least(0.4 * industries, F.lit(2.0)))
 
 
-def concentration(severity: Column, commodities: Column) -> Column:
-    """Severity times the largest factor of a commodity that is part of the text."""
-    factors = [F.when(F.contains(F.lower(commodities), F.lit(c)), f).otherwise(1.0) for c, f in X.CONCENTRATION.items()]
-    return F.least(severity * F.greatest(*factors), F.lit(10.0))
+def concentration_factor(commodity: Column) -> Column:
+    """The largest factor of a commodity that is part of the text; 1 for none and for null."""
+    low = F.lower(F.coalesce(commodity, F.lit("")))
+    return F.greatest(*[F.when(F.contains(low, F.lit(c)), f).otherwise(1.0) for c, f in X.CONCENTRATION.items()])
+
+
+def concentration(severity: Column, factor: Column) -> Column:
+    return F.least(severity * factor, F.lit(10.0))
 
 
 def velocity(n: Column) -> Column:
@@ -53,11 +57,11 @@ def score_topics(articles: DataFrame) -> DataFrame:
     ``articles``: topic, level, score, text, domain, industry, commodity, verified, rejected.
     """
     facts = articles.groupBy("topic").agg(
-        F.min("domain").alias("domain"), F.count_distinct("industry").alias("industries"), F.array_join(F.array_sort(F.collect_set("commodity")), " ").alias("commodities"),
+        F.min("domain").alias("domain"), F.count_distinct("industry").alias("industries"), F.max(concentration_factor(F.col("commodity"))).alias("factor"),
         F.count_if("verified").alias("verified"), F.count_if("rejected").alias("rejected"),
     )
     g = severity_part(articles).join(facts, "topic")
-    g = g.withColumns({"propagation": propagation(F.col("domain"), F.col("industries")), "concentration": F.round(concentration(F.col("severity"), F.col("commodities")), 4), "velocity": velocity(F.col("articles")), "multiplier": verification(F.col("articles"), F.col("verified"), F.col("rejected"))})
+    g = g.withColumns({"propagation": propagation(F.col("domain"), F.col("industries")), "concentration": F.round(concentration(F.col("severity"), F.col("factor")), 4), "velocity": velocity(F.col("articles")), "multiplier": verification(F.col("articles"), F.col("verified"), F.col("rejected"))})
     risk = F.round(F.least(F.lit(10.0), F.round((F.col("severity") + F.col("propagation") + F.col("concentration") + F.col("velocity")) / 4 * F.col("multiplier"), 6)), 2)
     return g.withColumn("risk", risk).withColumn("risk_level", level(F.col("risk"))).select("topic", "articles", "severity", "propagation", "concentration", "velocity", "multiplier", "risk", "risk_level")
 
@@ -66,3 +70,18 @@ def overall(levels: DataFrame) -> DataFrame:
     """One row of the fall-back badge: 20 per HIGH, 10 per MEDIUM, 100 at most; HIGH from five HIGH on, MEDIUM from one."""
     g = levels.agg(F.count_if(F.upper("level") == "HIGH").cast("bigint").alias("high"), F.count_if(F.upper("level") == "MEDIUM").cast("bigint").alias("medium"))
     return g.select("high", "medium", F.least(F.col("high") * 20 + F.col("medium") * 10, F.lit(100)).cast("bigint").alias("score"), F.when(F.col("high") >= 5, "HIGH").when(F.col("high") >= 1, "MEDIUM").otherwise("LOW").alias("badge"))
+
+
+def enrich(clusters: DataFrame, scores: DataFrame, *, by: str = "topic") -> DataFrame:
+    """``clusters`` with their risk and parts, and ``impact_level`` taken from the risk level; those without a score keep their own."""
+    parts = scores.select(by, "risk", "risk_level", F.struct("severity", "propagation", "concentration", "velocity", "multiplier").alias("risk_breakdown"))
+    out = clusters.drop("risk", "risk_level", "risk_breakdown").join(parts, by, "left")
+    return out.withColumn("impact_level", F.coalesce("risk_level", "impact_level"))
+
+
+def overall_of_clusters(clusters: DataFrame) -> DataFrame:
+    """One row: badge, score on a scale of 100, and counts, from the best of the scored real clusters (risk, risk_level, is_noise)."""
+    own = clusters.where(F.col("risk").isNotNull() & ~F.coalesce("is_noise", F.lit(False)))
+    g = own.agg(F.count("*").alias("clusters"), F.coalesce(F.max("risk"), F.lit(0.0)).alias("best"), F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"), F.count_if(F.col("risk_level") == "HIGH").alias("high"))
+    badge = F.when((F.col("best") >= 8) | (F.col("critical") >= 1), "HIGH").when((F.col("best") >= 6) | (F.col("high") >= 1), "MEDIUM").otherwise("LOW")
+    return g.select(badge.alias("badge"), F.least(F.floor(F.round(F.col("best") * 10, 6)), F.lit(100)).cast("bigint").alias("score"), "clusters", "critical", "high")

@@ -79,68 +79,16 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-NODE_POINTS = {"supplier": 8, "material": 6, "port": 5, "route": 5}
-
-
-def match_nodes(articles: DataFrame, nodes: DataFrame, *, keys: list[str], text: Column | None = None, max_nodes: int = 100_000) -> DataFrame:
-    """(keys, node_type, node, pos) for each exposure node named in an article as a whole word.
-
-    ``nodes``: (node_type, node, pos, names array). It is a small dimension: its size is checked before it is
-    broadcast; beyond ``max_nodes`` the names are joined by their first word instead.
-    """
-    names = nodes.select("node_type", "node", "pos", F.explode("names").alias("name")).where(F.length(F.trim("name")) >= 3)
-    names = names.select("node_type", "node", "pos", padded(F.col("name")).alias("name"))
-    own = articles.select(*keys, padded(text if text is not None else article_text()).alias("_t"))
-    if nodes.limit(max_nodes + 1).count() <= max_nodes:
-        hits = own.join(F.broadcast(names), F.contains(F.col("_t"), F.col("name")))
-    else:
-        words = own.withColumn("_w", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))))
-        first = names.withColumn("_w", F.split(F.trim("name"), " ")[0])
-        hits = words.join(first, "_w").where(F.contains(F.col("_t"), F.col("name")))
-    return hits.select(*keys, "node_type", "node", "pos").distinct()
-
-
-def entity_scores(articles: DataFrame, nodes: DataFrame, *, keys: list[str]) -> DataFrame:
-    """Points of the matched nodes, 20 at most, and the nodes in order; articles without any have 0. One row per key."""
-    hits = match_nodes(articles, nodes, keys=keys)
-    point = reduce(lambda e, kv: F.when(F.col("node_type") == kv[0], kv[1]).otherwise(e), NODE_POINTS.items(), F.lit(3))
-    got = hits.groupBy(*keys).agg(F.least(F.sum(point), F.lit(20)).cast("int").alias("entity"), F.array_sort(F.collect_list(F.struct("pos", "node_type", "node"))).alias("_n"))
-    out = articles.select(*keys).distinct().join(got, keys, "left")
-    kinds = list(NODE_POINTS)
-    linked = F.transform(F.filter("_n", lambda n: n["node_type"].isin(kinds)), lambda n: F.concat_ws(":", n["node_type"], n["node"]))
-    return out.select(*keys, F.coalesce("entity", F.lit(0)).alias("entity"), F.coalesce(linked, F.array().cast("array<string>")).alias("linked_nodes"))
-
-
-def geo_score(articles: DataFrame, places: DataFrame, *, keys: list[str], text: Column | None = None, max_places: int = 100_000) -> DataFrame:
-    """Five points for each country, three for each city, 15 at most; phrases of noise are taken out first.
-
-    ``places``: (kind country|city, name). Cities of fewer than four letters do not count.
-    """
-    body = text if text is not None else article_text()
-    for phrase in X.GEO_NOISE:
-        body = F.replace(body, F.lit(phrase), F.lit(" "))
-    names = places.where((F.col("kind") == "country") | (F.length("name") >= 4)).select("kind", padded(F.col("name")).alias("name")).where(F.trim("name") != "").distinct()
-    if names.limit(max_places + 1).count() > max_places:
-        raise ValueError("too many places to broadcast: split them and add the scores")
-    own = articles.select(*keys, padded(body).alias("_t"))
-    hits = own.join(F.broadcast(names), F.contains(F.col("_t"), F.col("name"))).select(*keys, "kind", "name").distinct().groupBy(*keys).agg(F.least(F.sum(F.when(F.col("kind") == "country", 5).otherwise(3)), F.lit(15)).cast("int").alias("geo"))
-    return articles.select(*keys).distinct().join(hits, keys, "left").select(*keys, F.coalesce("geo", F.lit(0)).alias("geo"))
-
-
 def impact_level(total: Column, disruption: Column, supply_chain: Column, *, high: int = 55, medium: int = 30) -> Column:
     return F.when((disruption == 0) | (supply_chain == 0), "LOW").when(total >= high, "HIGH").when(total >= medium, "MEDIUM").otherwise("LOW")
 
 
-def score_articles(articles: DataFrame, nodes: DataFrame | None = None, places: DataFrame | None = None, *, keys: list[str], lexicon: dict[str, list[str]] | None = None, text: Column | None = None, trust: str = "trust_score") -> DataFrame:
-    """All scores of each article, their total (0 to 100) and the impact level."""
-    body = text if text is not None else article_text()
-    own = articles.withColumn("_text", body)
+def score_articles(articles: DataFrame, *, lexicon: dict[str, list[str]] | None = None, text: Column | None = None, trust: str = "trust_score") -> DataFrame:
+    """The scores that the text and its source alone decide, their total (0 to 100) and the impact level; ``resolve`` adds those of a client's exposure."""
+    own = articles.withColumn("_text", text if text is not None else article_text())
     own = own.withColumns({"disruption_domains": disruption_domains("_text", lexicon), "supply_chain": keyword_density("_text"), "trust": trust_points(F.col(trust)), "penalty": press_penalty("_text")}).drop("_text")
     own = own.withColumn("disruption", disruption_score(F.col("disruption_domains")))
-    none = F.array().cast("array<string>")
-    own = own.join(entity_scores(articles, nodes, keys=keys), keys) if nodes is not None else own.withColumns({"entity": F.lit(0), "linked_nodes": none})
-    own = own.join(geo_score(articles, places, keys=keys, text=text), keys) if places is not None else own.withColumn("geo", F.lit(0))
-    total = F.col("disruption") + F.col("supply_chain") + F.col("entity") + F.col("geo") + F.col("trust") - F.col("penalty")
+    total = F.col("disruption") + F.col("supply_chain") + F.col("trust") - F.col("penalty")
     own = own.withColumn("total", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int"))
     return own.withColumn("impact", impact_level(F.col("total"), F.col("disruption"), F.col("supply_chain")))
 

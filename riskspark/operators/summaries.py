@@ -1,6 +1,6 @@
 """Extractive summaries: term weights, LexRank, maximal marginal relevance, briefs.
 
-Groups too large for one task are ranked in heats over all their rows.
+Groups too large for one task: MMR goes in rounds over rows where they lie, LexRank in heats over all its rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -37,7 +37,7 @@ def tfidf_pairs(weights: DataFrame, *, by: str, doc: str) -> DataFrame:
 def _weights(texts: list[str]) -> np.ndarray:
     docs = [re.findall(r"[a-z]{3,}", t.lower()) for t in texts]
     vocabulary = {w: i for i, w in enumerate(sorted({w for d in docs for w in d}))}
-    m = np.zeros((len(docs), max(1, len(vocabulary))))
+    m = np.zeros((len(docs), max(1, len(vocabulary))), dtype=np.float32 if len(docs) > 500 else np.float64)
     for i, d in enumerate(docs):
         for w in d:
             m[i, vocabulary[w]] += 1 / len(d)
@@ -79,10 +79,11 @@ def _heats(rows: DataFrame, by: str, pos: str, most: int, pick: Callable[[pd.Dat
         rows = materialize(small.unionByName(won), "heats")
 
 
-def lexrank(rows: DataFrame, *, by: str, pos: str, text: str, n: int, most: int = 400) -> DataFrame:
+def lexrank(rows: DataFrame, *, by: str, pos: str, text: str, n: int, most: int = 4000) -> DataFrame:
     """(by, summary): the ``n`` most central sentences of a group in text order; one alone is itself.
 
-    Groups above ``most`` sentences are ranked in heats, of which the winners are ranked again.
+    Centrality rests on all pairs of a group, so one task ranks a group of up to ``most`` sentences exactly. Larger groups
+    are ranked in heats, of which the winners are ranked again: an approximation (README gives how far it agrees).
     """
     kind = dict(rows.dtypes)[by]
 
@@ -139,25 +140,50 @@ def _marginal(v: np.ndarray, n: int, balance: float) -> list[int]:
 def mmr(rows: DataFrame, *, by: str, pos: str, vector: str, n: int = 6, balance: float = 0.55, most: int = 2000) -> DataFrame:
     """(by, rank, pos): the rows of each group that are near its centre and far from one another, in order of choice.
 
-    Groups above ``most`` rows are chosen from in heats.
+    Groups of more than ``most`` rows are chosen from by ``n`` rounds over all their rows where these lie, with the same result.
     """
     own = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(by, pos, vector)
 
-    def heat(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(pos, kind="stable")
-        return part.iloc[_marginal(np.stack(part[vector].to_numpy()).astype(float), n, balance)]
-
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(pos, kind="stable")
         got = _marginal(np.stack(part[vector].to_numpy()).astype(float), n, balance)
         return pd.DataFrame({by: [part[by].iloc[0]] * len(got), "rank": np.arange(1, len(got) + 1, dtype=np.int32), "pos": part[pos].to_numpy()[got]})
 
     kinds = dict(rows.dtypes)
-    return _heats(own, by, pos, most, heat).groupBy(by).applyInPandas(choose, f"`{by}` {kinds[by]}, rank int, pos {kinds[pos]}")
+    schema = f"`{by}` {kinds[by]}, rank int, pos {kinds[pos]}"
+    large = materialize(own.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(by), "large-groups")
+    if not large.limit(1).count():
+        return own.groupBy(by).applyInPandas(choose, schema)
+    small = own.join(large, by, "left_anti").groupBy(by).applyInPandas(choose, schema)
+    return small.unionByName(_mmr_rounds(own.join(large, by, "left_semi"), by, pos, vector, n, balance))
+
+
+def _mmr_rounds(own: DataFrame, by: str, pos: str, vector: str, n: int, balance: float) -> DataFrame:
+    from .vectors import dot, mean_vectors, normalise
+
+    unit = own.select(by, F.col(pos).alias("pos"), normalise(F.col(vector)).alias("v"))
+    centre = mean_vectors(unit, [by], vector="v").select(by, normalise(F.col("centroid")).alias("c"))
+    state = materialize(unit.join(centre, by).select(by, "pos", "v", dot(F.col("v"), F.col("c")).alias("gain"), F.lit(None).cast("double").alias("near")), "mmr")
+    picks = None
+    for rank in range(1, n + 1):
+        score = F.round(balance * F.col("gain") - (1 - balance) * F.coalesce("near", F.lit(0.0)), 9)
+        open_ = state if picks is None else state.join(picks.select(by, "pos"), [by, "pos"], "left_anti")
+        best = open_.groupBy(by).agg(F.min_by(F.struct("pos", "v"), F.struct((-score).alias("s"), F.col("pos"))).alias("b"))
+        best = materialize(best.select(by, F.lit(rank).alias("rank"), "b.pos", F.col("b.v").alias("p")), "mmr-pick")
+        picks = best.select(by, "rank", "pos") if picks is None else picks.unionByName(best.select(by, "rank", "pos"))
+        if rank < n:
+            sim = dot(F.col("v"), F.col("p"))
+            state = materialize(state.join(best.select(by, "p"), by).select(by, "pos", "v", "gain", F.greatest(sim, "near").alias("near")), "mmr")
+    return picks
 
 
 def briefs(clusters: DataFrame, *, by: str = "cluster_id") -> DataFrame:
-    """Headline, what happened and affected nodes of each cluster, from (by, pos, title, sentences array, nodes array)."""
-    first = clusters.groupBy(by).agg(F.min_by("title", "pos").alias("headline"), F.min_by("sentences", "pos").alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("nodes", 1, 20))))).alias("_n"))
-    names = F.transform(F.slice("_n", 1, 8), lambda n: F.element_at(F.split(n, ":", 2), -1))
-    return first.select(by, "headline", F.array_join(F.slice("_s", 1, 3), " ").alias("what_happened"), F.array_join(names, ", ").alias("affected"))
+    """Headline, what happened and affected nodes of each cluster, from rows (by, pos, title, sentences array, nodes array) of its articles.
+
+    What happened are the cluster's first three sentences in order of the rows, wherever they stand; nodes are named once.
+    """
+    lines = clusters.select(by, "pos", F.posexplode("sentences").alias("i", "s")).where(F.trim("s") != "")
+    first = lines.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("pos", "i"))).where("r <= 3").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), " ").alias("what_happened"))
+    names = clusters.select(by, F.explode("nodes").alias("n")).select(by, F.element_at(F.split("n", ":", 2), -1).alias("n")).distinct().groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("n")), ", ").alias("affected"))
+    heads = clusters.groupBy(by).agg(F.min_by("title", "pos").alias("headline"))
+    return heads.join(first, by, "left").join(names, by, "left").select(by, "headline", F.coalesce("what_happened", F.lit("")).alias("what_happened"), F.coalesce("affected", F.lit("")).alias("affected"))

@@ -2,35 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import STOP_WORDS
 from ..session import materialize
-from .vectors import dot, mean_vectors, normalise
+from .vectors import normalise
 
 
 def topic_count(n: int) -> int:
     return min(8, max(1, n // 3))
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, *, rounds: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, topic_id): seeds are the rows of the ``k`` smallest keys, then ``rounds`` of assigning and averaging.
+def spherical_kmeans(vectors: DataFrame, k: int, *, rounds: int = 30, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, topic_id): seeds are the rows of the ``k`` smallest keys, then assigning and averaging until no row moves, or ``rounds``.
 
-    Only the k centroids go round; a tie goes to the smaller topic, a topic without rows falls away.
+    The k centroids go to where the rows lie and sums of each topic come back; a tie goes to the smaller topic, a topic
+    without rows keeps its centroid.
     """
     own = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, normalise(F.col(vector)).alias("v"))
     own = materialize(own, "unit")
-    seeds = own.orderBy(key).limit(k)
-    centroids = seeds.select((F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("topic_id"), F.col("v").alias("centroid"))
-    got = None
-    for i in range(rounds):
-        centroids = materialize(centroids, "centroids")
-        near = own.join(F.broadcast(centroids)).select(key, "v", "topic_id", F.round(dot(F.col("v"), F.col("centroid")), 9).alias("s"))
-        got = near.groupBy(key).agg(F.min_by("topic_id", F.struct(-F.col("s"), F.col("topic_id"))).alias("topic_id"))
-        if i < rounds - 1:
-            centroids = mean_vectors(got.join(own, key), ["topic_id"], vector="v").withColumn("centroid", normalise(F.col("centroid")))
-    return got
+    seeds = own.orderBy(key).limit(k).collect()  # k rows
+    kind = dict(own.dtypes)[key]
+    if not seeds:
+        return own.select(key, F.lit(0).alias("topic_id"))
+    centroids, before = np.array([r["v"] for r in seeds]), None
+
+    def assign(part: pd.DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack(part["v"].to_numpy()).astype(np.float64)
+        return x, np.round(x @ c.T, 9).argmax(axis=1)
+
+    for _ in range(rounds):
+
+        def partial(batches: Iterator[pd.DataFrame], c: np.ndarray = centroids) -> Iterator[pd.DataFrame]:
+            total, n, mark = np.zeros_like(c), np.zeros(len(c), dtype=np.int64), 0
+            for part in batches:
+                if len(part):
+                    x, at = assign(part, c)
+                    np.add.at(total, at, x)
+                    n += np.bincount(at, minlength=len(c))
+                    # The sum of hashes tells whether any row has moved since the round before.
+                    mark += int((pd.util.hash_array(part[key].to_numpy()) * (at.astype(np.uint64) * np.uint64(2) + np.uint64(1))).astype(np.uint64).sum() >> np.uint64(16))
+            yield pd.DataFrame({"topic_id": np.arange(len(c), dtype=np.int32), "n": n, "mark": np.where(np.arange(len(c)) == 0, mark % (1 << 40), 0), "total": list(total)})
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"topic_id": part["topic_id"].iloc[:1], "n": [part["n"].sum()], "mark": [part["mark"].sum()], "total": [np.stack(part["total"].to_numpy()).sum(axis=0)]})
+
+        schema = "topic_id int, n bigint, mark bigint, total array<double>"
+        got = own.mapInPandas(partial, schema).groupBy("topic_id").applyInPandas(add, schema).toPandas().sort_values("topic_id")  # k rows
+        mark = int(got["mark"].sum())
+        if mark == before:
+            break
+        before = mark
+        mean = np.stack(got["total"].to_numpy())
+        full = got["n"].to_numpy() > 0
+        centroids = np.where(full[:, None], mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-30), centroids)
+
+    def final(batches: Iterator[pd.DataFrame], c: np.ndarray = centroids) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield pd.DataFrame({key: part[key], "topic_id": assign(part, c)[1].astype(np.int32)})
+
+    return own.mapInPandas(final, f"`{key}` {kind}, topic_id int")
 
 
 def keywords(rows: DataFrame, *, by: str, doc: str, tokens: str, n: int = 5) -> DataFrame:

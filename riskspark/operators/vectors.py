@@ -29,34 +29,68 @@ def normalise(v: Column) -> Column:
     return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-def similarity_pairs(vectors: DataFrame, threshold: float, *, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None, block_rows: int = 2000) -> DataFrame:
-    """(a, b, sim), a < b, of all pairs with a dot product of at least ``threshold``; exact.
+MOST_PIVOTS, MOST_CENTROIDS = 256, 200
 
-    Rows are dealt into blocks by a hash; each pair of blocks is one matrix product, so that no task holds
-    more than two blocks and nothing is multiplied twice. The number of links returned is what the data holds.
+
+def _cells(own: DataFrame, threshold: float, pivots: np.ndarray) -> DataFrame:
+    """(id, v, home, cell): each row in the cell of its nearest pivot, and in every other in which it could have a partner.
+
+    Two rows within an angle t of each other, the first at home with p: the second is no further from p than from its own
+    pivot and 2 t more. So all pairs meet in each other's home cells, and cells too far apart never meet.
+    """
+    reach = 2 * float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if not len(part):
+                continue
+            x = np.stack(part["v"].to_numpy()).astype(np.float64)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+            angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+            home = angle.argmin(axis=1)
+            r, c = np.nonzero(angle <= angle[np.arange(len(x)), home][:, None] + reach + 1e-9)
+            yield pd.DataFrame({"id": part["id"].to_numpy()[r], "v": part["v"].to_numpy()[r], "home": home[r].astype(np.int32), "cell": c.astype(np.int32)})
+
+    return own.mapInPandas(place, "id bigint, v array<float>, home int, cell int")
+
+
+def similarity_pairs(vectors: DataFrame, threshold: float, *, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None, block_rows: int = 2000) -> DataFrame:
+    """(a, b, sim), a < b, of all pairs with a dot product of at least ``threshold``; exact for unit vectors.
+
+    Rows meet only in cells around pivots (``_cells``), so far ones never do; a pair is found in the smaller of its two home
+    cells. A cell of more than ``block_rows`` rows is dealt into blocks by a hash and each pair of blocks is one matrix
+    product, so that no task holds more than two blocks. The number of links returned is what the data holds.
     """
     own = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    if blocks is None:
-        blocks = max(1, -(-own.count() // block_rows))
-    dealt = own.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    both = dealt.select("id", "v", "blk", F.explode(others).alias("o")).select("id", "v", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
+    n = own.count()
+    most = pivots or max(1, min(MOST_PIVOTS, n // block_rows))
+    if most == 1:
+        placed = own.withColumns({"home": F.lit(0), "cell": F.lit(0)})
+    else:
+        # Pivots are drawn by a hash of the key: any will do for the result, near ones only for the work.
+        drawn = own.orderBy(F.xxhash64("id")).limit(most).toPandas()
+        x = np.stack(drawn["v"].to_numpy()).astype(np.float64)
+        placed = materialize(_cells(own, threshold, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)), "cells")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # at most MOST_PIVOTS rows
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    both = dealt.select("cell", "id", "v", "home", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("cell", "id", "v", "home", "blk", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"))
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
+        cell, x, y = int(part["cell"].iloc[0]), int(part["x"].iloc[0]), int(part["y"].iloc[0])
         left, right = part[part["blk"] == x], part[part["blk"] == y]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         u, v = np.stack(left["v"].to_numpy()).astype(np.float64), np.stack(right["v"].to_numpy()).astype(np.float64)
-        i, j = left["id"].to_numpy(), right["id"].to_numpy()
+        i, j, hi, hj = left["id"].to_numpy(), right["id"].to_numpy(), left["home"].to_numpy(), right["home"].to_numpy()
         sims = u @ v.T
         r, c = np.nonzero(sims >= threshold - 1e-12)
+        keep = np.minimum(hi[r], hj[c]) == cell
         if x == y:
-            keep = i[r] < j[c]
-            r, c = r[keep], c[keep]
+            keep &= i[r] < j[c]
+        r, c = r[keep], c[keep]
         return pd.DataFrame({"a": np.minimum(i[r], j[c]), "b": np.maximum(i[r], j[c]), "sim": sims[r, c]})
 
-    return both.groupBy("x", "y").applyInPandas(multiply, "a bigint, b bigint, sim double")
+    return both.groupBy("cell", "x", "y").applyInPandas(multiply, "a bigint, b bigint, sim double")
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 5, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -68,10 +102,15 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, *, key: str = "ve
 
 def archetypes(vectors: DataFrame, centroids: DataFrame, n: int = 2, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, rank, category, score) of the ``n`` best of a few centroids (category, pos, centroid) for each row."""
-    near = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "category")))
-    pairs = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, vector).join(F.broadcast(centroids.limit(1000)))
-    scored = pairs.select(key, "pos", "category", F.round(dot(F.col(vector), F.col("centroid")), 4).alias("score"))
-    best = scored.groupBy(key).agg(F.slice(near, 1, n).alias("best"))
+    few = centroids.select("category", "pos", "centroid").limit(MOST_CENTROIDS + 1).collect()
+    if len(few) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids: match them in blocks")
+    # The centroids stand in the plan: each row is scored where it lies.
+    scores = [F.struct((-F.round(dot(F.col(vector), F.array(*map(F.lit, map(float, c["centroid"])))), 4)).alias("s"), F.lit(c["pos"]).alias("pos"), F.lit(c["category"]).alias("category")) for c in few]
+    own = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    if not scores:
+        return own.limit(0).select(key, F.lit(1).alias("rank"), F.lit("").alias("category"), F.lit(0.0).alias("score"))
+    best = own.select(key, F.slice(F.array_sort(F.array(*scores)), 1, n).alias("best"))
     return best.select(key, F.posexplode("best").alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), "b.category", (F.lit(0.0) - F.col("b.s")).alias("score"))
 
 
@@ -94,7 +133,7 @@ def core_paragraph(docs: DataFrame, pooled: DataFrame, *, doc: str, vector: str)
     return scored.groupBy(doc).agg(F.min_by("para", F.struct(-F.col("score"), F.col("para"))).alias("core"), F.max("score").alias("score"))
 
 
-def greedy_dedup(items: DataFrame, pairs: DataFrame, *, key: str = "vec_id", priority: str = "priority", rounds: int = 100) -> DataFrame:
+def greedy_dedup(items: DataFrame, pairs: DataFrame, *, key: str = "vec_id", priority: str = "priority", rounds: int = 1000) -> DataFrame:
     """(key, kept, absorbed_by, absorbed): what a greedy pass by falling priority keeps, without the pass.
 
     In each round an undecided row without an undecided better neighbour is kept and drops its neighbours: the
@@ -110,7 +149,7 @@ def greedy_dedup(items: DataFrame, pairs: DataFrame, *, key: str = "vec_id", pri
     todo = materialize(e.select(F.col("u").alias("id")).union(e.select("v")).distinct(), "mis-open")
     kept = dropped = None
     live = e
-    for _ in range(rounds):
+    for i in range(rounds):
         blocked = live.select(F.col("u").alias("id")).distinct()
         new = materialize(todo.join(blocked, "id", "left_anti"), "mis-kept")
         gone = materialize(live.join(new.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("u").alias("id")).distinct(), "mis-dropped")
@@ -119,6 +158,8 @@ def greedy_dedup(items: DataFrame, pairs: DataFrame, *, key: str = "vec_id", pri
         todo = materialize(todo.join(new, "id", "left_anti").join(gone, "id", "left_anti"), "mis-open")
         if not todo.limit(1).count():
             break
+        if i == rounds - 1:
+            raise RuntimeError(f"rows left undecided after {rounds} rounds")
         live = live.join(todo.withColumnRenamed("id", "u"), "u", "left_semi").join(todo.withColumnRenamed("id", "v"), "v", "left_semi")
         live = materialize(live, "mis-edges")
     charge = e.join(dropped.withColumnRenamed("id", "u"), "u", "left_semi").join(kept.withColumnRenamed("id", "v"), "v", "left_semi")

@@ -17,7 +17,6 @@ from .base import query
 KEYS = ["article_id", "run_id"]
 TEXT = "lower(concat_ws(' ', coalesce(clean_title, ''), coalesce(clean_body, '')))"
 BASE = f"t as (select article_id, run_id, trust_score, {TEXT} as t from preprocessed_articles)"
-CLIENT = "(select min(client_id) from client_profiles)"
 
 
 def lit(text: str) -> str:
@@ -48,52 +47,11 @@ def _points_sql(ds: str = "ds") -> str:
 DENSITY = f"case when {count_sql(X.SUPPLY_CHAIN)} = 0 then 0 when {count_sql(X.SUPPLY_CHAIN)} = 1 then 6 when {count_sql(X.SUPPLY_CHAIN)} = 2 then 11 when {count_sql(X.SUPPLY_CHAIN)} <= 4 then 16 else 20 end"
 PENALTY = f"case when {count_sql(X.PRESS_RELEASE)} >= 2 then 15 when {count_sql(X.PRESS_RELEASE)} = 1 then 5 else 0 end"
 TRUST = "least(cast(round_even(coalesce(trust_score, 0.5) * 10, 0) as integer), 10)"
-NODES = f"""n0 as (
-      select 'supplier' as node_type, x.name as node, i as p from (select unnest(tier1_suppliers) as x, generate_subscripts(tier1_suppliers, 1) - 1 as i from client_profiles where client_id = {CLIENT})
-      union all select 'material', x.commodity, 1000 + i from (select unnest(raw_materials) as x, generate_subscripts(raw_materials, 1) - 1 as i from client_profiles where client_id = {CLIENT})
-      union all select coalesce(x.type, 'node'), x.name, 2000 + i from (select unnest(logistics_nodes) as x, generate_subscripts(logistics_nodes, 1) - 1 as i from client_profiles where client_id = {CLIENT})),
-    nodes as (select node_type, node, min(p) as pos from n0 where trim(coalesce(node, '')) <> '' group by 1, 2)"""
-HITS = f"""p as (select article_id, run_id, {padded_sql(TEXT)} as t from preprocessed_articles),
-    hits as (select distinct p.article_id, p.run_id, n.node_type, n.node, n.pos from p join nodes n on length(trim(n.node)) >= 3 and contains(p.t, {padded_sql('n.node')}))"""
-ENTITY = """e as (select article_id, run_id, least(sum(case node_type when 'supplier' then 8 when 'material' then 6 when 'port' then 5 when 'route' then 5 else 3 end), 20) as entity,
-        string_agg(case when node_type in ('supplier', 'material', 'port', 'route') then node_type || ':' || node end, '|' order by pos, node_type, node) as linked from hits group by 1, 2)"""
-
-
-def _noise(x: str) -> str:
-    for phrase in X.GEO_NOISE:
-        x = f"replace({x}, {lit(phrase)}, ' ')"
-    return x
-
-
-GEO = f"""places as (select distinct kind, {padded_sql('name')} as name from (
-        select 'country' as kind, case when trim(coalesce(x.country, '')) <> '' then x.country else coalesce(x.location, '') end as name from (select unnest(tier1_suppliers) as x from client_profiles where client_id = {CLIENT})
-        union all select 'city', x.city from (select unnest(tier1_suppliers) as x from client_profiles where client_id = {CLIENT})
-        union all select 'city', x.region from (select unnest(raw_materials) as x from client_profiles where client_id = {CLIENT}))
-      where trim(coalesce(name, '')) <> '' and (kind = 'country' or length(name) >= 4)),
-    g0 as (select article_id, run_id, {padded_sql(_noise(TEXT))} as t from preprocessed_articles),
-    g as (select article_id, run_id, least(sum(case kind when 'country' then 5 else 3 end), 15) as geo from (select distinct g0.article_id, g0.run_id, kind, name from g0 join places on contains(g0.t, places.name)) group by 1, 2)"""
-TOTAL = f"""{BASE}, d as (select *, {_domains_sql()} as ds from t), s as (select article_id, run_id, {_points_sql()} as disruption, {DENSITY} as supply_chain, {TRUST} as trust, {PENALTY} as penalty from d),
-    {NODES}, {HITS}, {ENTITY}, {GEO},
-    f as (select s.article_id, s.run_id, s.disruption, s.supply_chain, cast(coalesce(e.entity, 0) as integer) as entity, cast(coalesce(g.geo, 0) as integer) as geo, s.trust, s.penalty
-          from s left join e using (article_id, run_id) left join g using (article_id, run_id)),
-    total as (select *, greatest(0, least(100, disruption + supply_chain + entity + geo + trust - penalty)) as total from f),
-    scored as (select *, case when disruption = 0 or supply_chain = 0 then 'LOW' when total >= 55 then 'HIGH' when total >= 30 then 'MEDIUM' else 'LOW' end as impact from total)"""
-
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "preprocessed_articles")
 
 
-def _profile(spark: SparkSession, d: str) -> DataFrame:
-    all_ = table(spark, d, "client_profiles")
-    return all_.join(F.broadcast(all_.agg(F.min("client_id").alias("client_id"))), "client_id", "left_semi")
-
-
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    profile = _profile(spark, d)
-    return R.score_articles(_articles(spark, d), E.exposure_nodes(profile), E.exposure_places(profile), keys=KEYS)
-
-
 @query(f"with {BASE}, d as (select *, {_domains_sql()} as ds from t) select article_id, run_id, array_to_string(ds, ',') as domains, {_points_sql()} as disruption from d")
 def score_disruption(spark: SparkSession, d: str) -> DataFrame:
     own = _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).withColumn("ds", R.disruption_domains("_text"))
@@ -105,16 +63,6 @@ def score_keyword_density(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).select(*KEYS, R.keyword_density("_text").alias("supply_chain"))
 
 
-@query(f"with {NODES}, {HITS}, {ENTITY} select a.article_id, a.run_id, cast(coalesce(e.entity, 0) as integer) as entity from (select distinct article_id, run_id from preprocessed_articles) a left join e using (article_id, run_id)")
-def score_entity_match(spark: SparkSession, d: str) -> DataFrame:
-    return R.entity_scores(_articles(spark, d), E.exposure_nodes(_profile(spark, d)), keys=KEYS).select(*KEYS, "entity")
-
-
-@query(f"with {GEO} select a.article_id, a.run_id, cast(coalesce(g.geo, 0) as integer) as geo from (select distinct article_id, run_id from preprocessed_articles) a left join g using (article_id, run_id)")
-def score_geo(spark: SparkSession, d: str) -> DataFrame:
-    return R.geo_score(_articles(spark, d), E.exposure_places(_profile(spark, d)), keys=KEYS)
-
-
 @query(f"select article_id, run_id, {TRUST} as trust from preprocessed_articles")
 def score_trust(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select(*KEYS, R.trust_points(F.col("trust_score")).alias("trust"))
@@ -125,40 +73,15 @@ def score_pr_penalty(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select(*KEYS, R.article_text().alias("_text")).select(*KEYS, R.press_penalty("_text").alias("penalty"))
 
 
-@query(f"with {TOTAL} select article_id, run_id, disruption, supply_chain, entity, geo, trust, penalty, total, impact from scored")
-def score_total_impact(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select(*KEYS, "disruption", "supply_chain", "entity", "geo", "trust", "penalty", "total", "impact")
-
-
-@query(f"with {NODES}, {HITS}, {ENTITY} select a.article_id, a.run_id, coalesce(e.linked, '') as linked from (select distinct article_id, run_id from preprocessed_articles) a left join e using (article_id, run_id)")
-def linked_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return R.entity_scores(_articles(spark, d), E.exposure_nodes(_profile(spark, d)), keys=KEYS).select(*KEYS, F.array_join("linked_nodes", "|").alias("linked"))
-
-
-@query(f"with {TOTAL} select article_id, run_id, total, impact from scored order by case impact when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end desc, total desc, article_id, run_id limit 30")
-def ranked_articles_top30(spark: SparkSession, d: str) -> DataFrame:
-    return R.rank_articles(_scored(spark, d), 30, tie=KEYS).select(*KEYS, "total", "impact")
-
-
-@query(f"with {TOTAL} select impact, count(*) as n, max(total) as best from scored group by impact")
-def impact_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("impact").agg(F.count("*").alias("n"), F.max("total").alias("best"))
-
-
-@query(f"with {TOTAL} select impact, sum(disruption)::bigint as disruption, count(*) filter (penalty > 0) as penalised, count(*) filter (entity > 0) as linked, count(*) as n from scored group by impact")
-def funnel_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("impact").agg(F.sum("disruption").alias("disruption"), F.count_if(F.col("penalty") > 0).alias("penalised"), F.count_if(F.col("entity") > 0).alias("linked"), F.count("*").alias("n"))
-
-
 EXPOSURE = """n0 as (
-      select client_id, 'supplier' as node_type, x.name as node, i as p from (select client_id, unnest(tier1_suppliers) as x, generate_subscripts(tier1_suppliers, 1) - 1 as i from client_profiles)
-      union all select client_id, 'material', x.commodity, 1000 + i from (select client_id, unnest(raw_materials) as x, generate_subscripts(raw_materials, 1) - 1 as i from client_profiles)
-      union all select client_id, coalesce(x.type, 'node'), x.name, 2000 + i from (select client_id, unnest(logistics_nodes) as x, generate_subscripts(logistics_nodes, 1) - 1 as i from client_profiles))"""
+      select client_id, 'supplier' as node_type, x.name as node, 0 as k, i from (select client_id, unnest(tier1_suppliers) as x, generate_subscripts(tier1_suppliers, 1) - 1 as i from client_profiles)
+      union all select client_id, 'material', x.commodity, 1, i from (select client_id, unnest(raw_materials) as x, generate_subscripts(raw_materials, 1) - 1 as i from client_profiles)
+      union all select client_id, coalesce(x.type, 'node'), x.name, 2, i from (select client_id, unnest(logistics_nodes) as x, generate_subscripts(logistics_nodes, 1) - 1 as i from client_profiles))"""
 
 
-@query(f"with {EXPOSURE} select client_id, node_type, node, cast(min(p) as integer) as pos from n0 where trim(coalesce(node, '')) <> '' group by 1, 2, 3")
+@query(f"with {EXPOSURE} select client_id, node_type, node, cast(row_number() over (partition by client_id order by min((k, i)), node_type, node) - 1 as integer) as pos from n0 where trim(coalesce(node, '')) <> '' group by client_id, node_type, node")
 def exposure_map(spark: SparkSession, d: str) -> DataFrame:
-    return E.exposure_nodes(table(spark, d, "client_profiles")).drop("names")
+    return E.exposure_nodes(table(spark, d, "client_profiles"))
 
 
 @query("""
@@ -166,35 +89,11 @@ def exposure_map(spark: SparkSession, d: str) -> DataFrame:
     select c.client_id, c.country, (select min(n_name) from nation where lower(n_name) = lower(trim(c.country))) as resolved from c""")
 def exposure_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Countries of suppliers looked up in a dimension without regard to case; unresolved ones stay with null."""
-    names = E.explode_profile(table(spark, d, "client_profiles"))["suppliers"]
     raw = table(spark, d, "client_profiles").select("client_id", F.explode("tier1_suppliers").alias("x")).select("client_id", F.col("x.country").alias("country")).where(F.trim(F.coalesce("country", F.lit(""))) != "").distinct()
-    del names
     dimension = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
     return E.resolve_names(raw, dimension, name="country", key="name").select("client_id", "country", "resolved")
 
 
-def _queries_sql() -> str:
-    every = E.quoted([t for ts in X.SAMPLE_LEXICON.values() for t in ts])
-    split = " union all ".join(f"select client_id, '\"' || city || '\" AND (' || {lit(E.quoted(ts))} || ')' as query, 1 as a, pos as b, {i} as c from town where length(city) + {len(every) + 9} > 400" for i, ts in enumerate(X.SAMPLE_LEXICON.values()))
-    return f"""with sup as (select client_id, x, i from (select client_id, unnest(tier1_suppliers) as x, generate_subscripts(tier1_suppliers, 1) - 1 as i from client_profiles)),
-      mat as (select client_id, x, i from (select client_id, unnest(raw_materials) as x, generate_subscripts(raw_materials, 1) - 1 as i from client_profiles)),
-      {EXPOSURE}, nodes as (select client_id, node_type, node, min(p) as pos from n0 where trim(coalesce(node, '')) <> '' group by 1, 2, 3),
-      t0 as (select client_id, case when trim(coalesce(x.country, '')) <> '' then x.country when trim(coalesce(x.location, '')) <> '' then x.location else '' end as country, x.city as city, min(i) as pos from sup where coalesce(x.city, '') <> '' group by 1, 2, 3),
-      town as (select client_id, city, pos from t0 qualify row_number() over (partition by client_id, country order by pos) <= 3),
-      q as (select client_id, node as query, 0 as a, pos as b, 0 as c from nodes where node_type <> 'material'
-        union all select client_id, '"' || city || '" AND (' || {lit(every)} || ')', 1, pos, 0 from town where length(city) + {len(every) + 9} <= 400
-        union all {split}
-        union all select client_id, '"' || x.commodity || '" AND (' || {lit(E.quoted(X.COMMODITY_TERMS))} || ')', 2, i, 0 from mat where trim(coalesce(x.commodity, '')) <> ''
-        union all select client_id, '"' || x.region || '" AND "' || x.commodity || '" AND (' || {lit(E.quoted(X.ORIGIN_TERMS))} || ')', 2, i, 1 from mat where trim(coalesce(x.commodity, '')) <> '' and trim(coalesce(x.region, '')) <> ''),
-      f as (select client_id, trim(query) as query, min((a, b, c)) as o from q where trim(coalesce(query, '')) <> '' group by 1, 2)
-      select client_id, cast(row_number() over (partition by client_id order by o, query) - 1 as integer) as pos, query from f"""
-
-
-@query(_queries_sql())
-def generate_queries(spark: SparkSession, d: str) -> DataFrame:
-    return E.generate_queries(table(spark, d, "client_profiles"))
-
-
 @query(f"select n_name as country, substring('\"' || n_name || '\" AND (' || {lit(E.quoted(X.COUNTRY_TERMS))} || ')', 1, 500) as query from nation")
 def country_queries(spark: SparkSession, d: str) -> DataFrame:
     return E.country_queries(table(spark, d, "nation").withColumnRenamed("n_name", "country"))

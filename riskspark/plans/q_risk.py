@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as X
 from ..operators import legacy_risk as L
 from ..operators import risk as K
-from ..session import table
+from ..session import small_side, table
 from .q_relevance import lit
 from .base import query
 
@@ -37,8 +37,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
         F.col("record_id").alias("pos"), "cluster_id", (F.col("risk_score_norm") * 100).alias("score"), F.col("disruption_domain").alias("domain"), "source", F.col("fetched_at").cast("timestamp").alias("published"), F.col("impact_level").alias("level"),
         F.coalesce(F.transform("ner_tags", lambda t: F.concat(kind(t), F.lit(":"), t["text"])), none).alias("nodes"),
     )
-    outlets = table(spark, d, "feed_sources").select("source", "country").limit(10_000)  # one row per outlet: small by nature, checked by the limit
-    return rows.join(F.broadcast(outlets), "source", "left")
+    return rows.join(small_side(table(spark, d, "feed_sources").select("source", "country")), "source", "left")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -145,9 +144,9 @@ def _has(words: list[str]) -> str:
 TOPICS = f"""lt as (select coalesce(industry_label, 'general') as topic, impact_level as level, risk_score_norm * 100 as score, coalesce(extractive_summary, '') as text, disruption_domain as domain, coalesce(semantic_category, 'none') as industry,
       coalesce(title, '') as commodity, coalesce(trust_score, 0) >= 0.7 as verified, coalesce(trust_score, 1) < 0.56 as rejected from corpus_records),
     lg as (select topic, count(*) as articles, round(least(10.0e0, 0.5e0 * (count(*) filter (upper(level) = 'HIGH') * 9 + count(*) filter (upper(level) = 'MEDIUM') * 5) / count(*) + 0.3e0 * least(3.0e0, 0.5e0 * ({_has(X.HIGH_SEVERITY)}) + 0.2e0 * ({_has(X.MEDIUM_SEVERITY)})) + 0.2e0 * avg(score) / 10), 4) as severity,
-      min(domain) as domain, count(distinct industry) as industries, array_to_string(list_sort(list(distinct commodity)), ' ') as commodities, count(*) filter (verified) as verified, count(*) filter (rejected) as rejected from lt group by topic),
+      min(domain) as domain, count(distinct industry) as industries, max(greatest({', '.join(f"case when contains(lower(commodity), {lit(k)}) then {v}e0 else 1e0 end" for k, v in X.CONCENTRATION.items())})) as factor, count(*) filter (verified) as verified, count(*) filter (rejected) as rejected from lt group by topic),
     lp as (select *, least(10.0e0, (case lower(domain) {' '.join(f"when {lit(k)} then {v}e0" for k, v in X.PROPAGATION.items())} else 4e0 end) + least(0.4e0 * industries, 2.0e0)) as propagation,
-      round(least(severity * greatest({', '.join(f"case when contains(lower(commodities), {lit(k)}) then {v}e0 else 1e0 end" for k, v in X.CONCENTRATION.items())}), 10.0e0), 4) as concentration,
+      round(least(severity * factor, 10.0e0), 4) as concentration,
       case when articles >= 20 then 9.5e0 when articles >= 11 then 8e0 when articles >= 6 then 6.5e0 when articles >= 3 then 4e0 else articles::double end as velocity,
       case when articles = 0 then 0.9e0 when rejected > 0 then 0.8e0 when verified = 0 then 0.9e0 when verified = articles then 1.1e0 when verified * 2 >= articles then 1.05e0 else 1e0 end as multiplier from lg),
     lr as (select *, round(least(10.0e0, round((severity + propagation + concentration + velocity) / 4 * multiplier, 6)), 2) as risk from lp)"""
@@ -183,3 +182,18 @@ def legacy_composite(spark: SparkSession, d: str) -> DataFrame:
     select high, medium, cast(least(high * 20 + medium * 10, 100) as bigint) as score, case when high >= 5 then 'HIGH' when high >= 1 then 'MEDIUM' else 'LOW' end as badge from g""")
 def legacy_overall(spark: SparkSession, d: str) -> DataFrame:
     return L.overall(table(spark, d, "corpus_records").select(F.col("impact_level").alias("level")))
+
+
+@query(f"with {TOPICS} select topic, round(risk, 2) as risk, case when risk >= 8 then 'CRITICAL' when risk >= 6 then 'HIGH' when risk >= 3.5 then 'MEDIUM' else 'LOW' end as impact_level, articles >= 1 as scored from lr union all select 'unscored', null, 'LOW', false")
+def legacy_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Topics as clusters with their risk; one without a score keeps its level."""
+    scores = L.score_topics(legacy_articles(spark, d))
+    clusters = scores.select("topic").unionByName(spark.createDataFrame([("unscored",)], "topic string")).withColumn("impact_level", F.lit("LOW"))
+    return L.enrich(clusters, scores).select("topic", "risk", "impact_level", F.col("risk_breakdown").isNotNull().alias("scored"))
+
+
+@query(f"""with {TOPICS}, b as (select count(*) as clusters, coalesce(max(risk), 0) as best, count(*) filter (risk >= 8) as critical, count(*) filter (risk >= 6 and risk < 8) as high from lr)
+    select case when best >= 8 or critical >= 1 then 'HIGH' when best >= 6 or high >= 1 then 'MEDIUM' else 'LOW' end as badge, cast(least(floor(round(best * 10, 6)), 100) as bigint) as score, clusters, critical, high from b""")
+def legacy_badge(spark: SparkSession, d: str) -> DataFrame:
+    """The overall badge by the best score."""
+    return L.overall_of_clusters(L.score_topics(legacy_articles(spark, d)).withColumn("is_noise", F.lit(False)))

@@ -19,9 +19,9 @@ USABLE = "list_slice(list_filter(" + SPLIT.format("coalesce(clean_body, '')") +
 
 
 def _strip_sql(x: str) -> str:
-    for p in T.BOILERPLATE:
-        x = f"regexp_replace({x}, {lit(p)}, ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+    # RE2 has no look-ahead: a dot or the end after "via ..." is kept by a group.
+    own = T.boilerplate_pattern([p.replace(r".*?(?=\.|$)", r"[^.\n]*") for p in T.BOILERPLATE])
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, {lit(own)}, ' ', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
 
 
 def _industry_sql(x: str) -> str:
@@ -111,12 +111,25 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return CO.corpus_stats(table(spark, d, "corpus_records"))
 
 
-@query(f"""with a as (select *, coalesce(clean_body, '') as b from preprocessed_articles)
-    select article_id, run_id, clean_title as title, source, coalesce(trust_score, 0.5) as trust_score, {_industry_sql("lower(concat_ws(' ', clean_title, b))")} as industry_label, round(greatest(0e0, least(1e0, relevance_score / 100.0e0)), 6) as risk_score_norm,
-      array_to_string(list_filter(list_slice({SPLIT.format('b')}, 1, 2), lambda s: trim(s) <> ''), ' ||| ') as extractive_summary, coalesce(len(matched_entities), 0)::integer as entities,
-      case when upper(impact_level) in ('HIGH', 'MEDIUM') then 1 else 0 end as is_relevant, upper(impact_level) as impact_level, case when trim(b) = '' then 0 else len(regexp_split_to_array(trim(b), '\\s+')) end::integer as word_count from a""")
+def _text_domains_sql() -> str:
+    from .q_relevance import _domains_sql
+
+    return f"(select article_id, run_id, coalesce(({_domains_sql()})[1], 'none') as dom from (select article_id, run_id, lower(concat_ws(' ', coalesce(clean_title, ''), coalesce(clean_body, ''))) as t from preprocessed_articles))"
+
+
+@query(f"""with e as (select article_id, semantic_category from article_encodings), d as {_text_domains_sql()}, a as (select p.*, coalesce(clean_body, '') as b, e.semantic_category, d.dom from preprocessed_articles p left join e using (article_id) join d on d.article_id = p.article_id and d.run_id = p.run_id)
+    select article_id, run_id, coalesce(title, '') as title, coalesce(url, '') as url, coalesce(published, '') as published, coalesce(source, '') as source, coalesce(nullif(trust_score, 0), 0.5) as trust_score, {_industry_sql("lower(concat_ws(' ', coalesce(title, ''), b))")} as industry_label, dom as disruption_domain,
+      round(greatest(0e0, least(1e0, relevance_score / 100.0e0)), 6) as risk_score_norm, array_to_string(list_filter(list_slice({SPLIT.format('b')}, 1, 2), lambda s: trim(s) <> ''), ' ||| ') as extractive_summary,
+      array_to_string(list_transform(coalesce(matched_entities, []), lambda m: m || '/RULE'), '|') as ner_tags, case when upper(impact_level) in ('HIGH', 'MEDIUM') then 1 else 0 end as is_relevant, upper(impact_level) as impact_level, coalesce(semantic_category, '') as semantic_category,
+      relevance_score::integer as breakdown, -1 as cluster_id, case when trim(b) = '' then 0 else len(regexp_split_to_array(trim(b), '\\s+')) end::integer as word_count from a""")
 def corpus_records(spark: SparkSession, d: str) -> DataFrame:
-    return CO.corpus_record(_articles(spark, d))
+    """All sixteen fields; tags and the map as text, as results are compared by value."""
+    from ..operators import relevance as R
+
+    rows = _articles(spark, d).withColumn("_text", R.article_text()).withColumn("disruption_domains", R.disruption_domains("_text"))
+    rows = rows.withColumn("entities", F.transform("matched_entities", lambda m: F.struct(m.alias("text"), F.lit("RULE").alias("label")))).withColumn("score_breakdown", F.create_map(F.lit("total"), F.col("relevance_score").cast("int")))
+    got = CO.corpus_record(rows.join(table(spark, d, "article_encodings").select("article_id", "semantic_category"), "article_id", "left"))
+    return got.withColumn("ner_tags", F.array_join(F.transform("ner_tags", lambda e: F.concat_ws("/", e["text"], e["label"])), "|")).withColumn("breakdown", F.col("score_breakdown")["total"]).drop("score_breakdown")
 
 
 @query()
@@ -130,11 +143,15 @@ def lexrank_summary(spark: SparkSession, d: str) -> DataFrame:
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     """Four central sentences of each cluster, from the summaries of its records."""
     rows = table(spark, d, "corpus_records").where((F.col("cluster_id") >= 0) & (F.col("extractive_summary") != "")).select("cluster_id", "record_id", F.posexplode(F.split("extractive_summary", r" \|\|\| ")).alias("i", "sentence"))
-    rows = rows.select("cluster_id", (F.col("record_id") * 1000 + F.col("i")).alias("pos"), "sentence")
+    rows = rows.select("cluster_id", (F.col("record_id") * (1 << 20) + F.col("i")).alias("pos"), "sentence")
     return S.lexrank(rows, by="cluster_id", pos="pos", text="sentence", n=4)
 
 
-@query("""with f as (select cluster_id, min_by(title, record_id) as headline, min_by(extractive_summary, record_id) as s from corpus_records where cluster_id >= 0 group by 1) select cluster_id, headline, array_to_string(list_slice(string_split(s, ' ||| '), 1, 3), ' ') as what_happened from f""")
+@query("""with r as (select * from corpus_records where cluster_id >= 0), s as (select cluster_id, record_id, unnest(string_split(extractive_summary, ' ||| ')) as s, generate_subscripts(string_split(extractive_summary, ' ||| '), 1) as i from r),
+    k as (select cluster_id, s, row_number() over (partition by cluster_id order by record_id, i) as n from s where trim(s) <> ''), w as (select cluster_id, string_agg(s, ' ' order by n) as what_happened from k where n <= 3 group by 1),
+    t as (select distinct cluster_id, x.text as n from (select cluster_id, unnest(ner_tags) as x from r)), a as (select cluster_id, string_agg(n, ', ' order by n) as affected from t group by 1), h as (select cluster_id, min_by(title, record_id) as headline from r group by 1)
+    select cluster_id, headline, coalesce(what_happened, '') as what_happened, coalesce(affected, '') as affected from h left join w using (cluster_id) left join a using (cluster_id)""")
 def fallback_briefs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "corpus_records").where(F.col("cluster_id") >= 0).select("cluster_id", F.col("record_id").alias("pos"), "title", F.split("extractive_summary", r" \|\|\| ").alias("sentences"), F.array().cast("array<string>").alias("nodes"))
-    return S.briefs(rows).drop("affected")
+    nodes = F.coalesce(F.transform("ner_tags", lambda t: F.concat(t["label"], F.lit(":"), t["text"])), F.array().cast("array<string>"))
+    rows = table(spark, d, "corpus_records").where(F.col("cluster_id") >= 0).select("cluster_id", F.col("record_id").alias("pos"), "title", F.split("extractive_summary", r" \|\|\| ").alias("sentences"), nodes.alias("nodes"))
+    return S.briefs(rows)

@@ -73,13 +73,41 @@ def semantic_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return V.search(rows, list(q[0]) if q else [], 10)
 
 
-@query()
+ROUNDS, TOPICS = 30, 8
+UNIT = "u as materialized (select vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as v from embeddings)"
+
+
+def _kmeans_sql() -> str:
+    parts = [UNIT, f"c0 as materialized (select cast(row_number() over (order by vec_id) - 1 as integer) as topic_id, v as c from u order by vec_id limit {TOPICS})"]
+    for r in range(ROUNDS + 1):
+        parts.append(f"a{r} as materialized (select vec_id, arg_min(topic_id, (-round(list_inner_product(v, c), 9), topic_id)) as topic_id from u cross join c{r} group by vec_id)")
+        if r < ROUNDS:
+            parts.append(f"m{r} as (select topic_id, i, avg(x) as x from (select topic_id, unnest(v) as x, generate_subscripts(v, 1) as i from a{r} join u using (vec_id)) group by 1, 2)")
+            parts.append(f"l{r} as (select topic_id, list(x order by i) as c from m{r} group by 1)")
+            parts.append(f"c{r + 1} as materialized (select o.topic_id, coalesce(list_transform(l.c, lambda x: x / sqrt(list_inner_product(l.c, l.c))), o.c) as c from c{r} o left join l{r} l using (topic_id))")
+    return f"with {', '.join(parts)} select vec_id, topic_id from a{ROUNDS}"
+
+
+@query(_kmeans_sql())
 def topic_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return TP.spherical_kmeans(_vectors(spark, d), 8)
+    """Eight topics by at most 30 rounds, ended when no row moves; the SQL goes on, as nothing changes then."""
+    return TP.spherical_kmeans(_vectors(spark, d), TOPICS, rounds=ROUNDS)
 
 
-@query()
+def _mmr_sql(n: int = 6, balance: float = 0.55) -> str:
+    parts = [
+        UNIT, "m as (select label, i, avg(x) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from u) group by 1, 2)", "ce as (select label, list(x order by i) as c from m group by 1)",
+        "s0 as materialized (select vec_id, label, v, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) as gain, null::double as near, false as taken from u join ce using (label))",
+    ]
+    for r in range(n):
+        parts.append(f"p{r} as materialized (select label, {r + 1} as rank, arg_min(vec_id, (-round({balance} * gain - {1 - balance} * coalesce(near, 0), 9), vec_id)) as vec_id from s{r} where not taken group by label)")
+        parts.append(f"s{r + 1} as materialized (select s.vec_id, s.label, s.v, s.gain, greatest(list_inner_product(s.v, b.v), s.near) as near, s.taken or s.vec_id = p.vec_id as taken from s{r} s left join p{r} p using (label) left join u b on b.vec_id = p.vec_id)")
+    return f"with {', '.join(parts)} " + " union all ".join(f"select label, rank, vec_id as pos from p{r}" for r in range(n))
+
+
+@query(_mmr_sql())
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
+    """Six rows of each label that are near its centre and far from one another."""
     return S.mmr(_vectors(spark, d), by="label", pos="vec_id", vector="embedding")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_relevance, q_risk, q_text, q_time, q_vectors  # noqa: F401
+from . import q_exposure, q_relevance, q_risk, q_stages, q_text, q_time, q_vectors  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

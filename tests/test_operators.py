@@ -45,7 +45,7 @@ def test_plurality_prefers_topics(spark):
 
 def test_empty_tables(spark, data):
     articles = spark.read.parquet(f"{data}/preprocessed_articles.parquet").limit(0)
-    assert R.score_articles(articles, keys=["article_id", "run_id"]).count() == 0
+    assert R.score_articles(articles).count() == 0
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert V.similarity_pairs(empty, 0.5).count() == 0
     assert TP.spherical_kmeans(empty, 3).count() == 0
