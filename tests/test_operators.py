@@ -69,7 +69,7 @@ def cloud(spark):
 def test_similarity_pairs_in_blocks(spark, cloud):
     x, frame = cloud
     x = x.astype(np.float32).astype(np.float64)
-    got = V.similarity_pairs(frame, 0.8, blocks=4)
+    got = V.similarity_pairs(frame, 0.8, block_rows=40)
     assert {(r.a, r.b) for r in got.collect()} == brute_pairs(x, 0.8)
 
 
