@@ -5,8 +5,8 @@ to, one file per leaf block in the shared folder. Each vector then descends the
 through a priority queue and visits as many leaves as a calibration against exact search showed to
 be needed for the wanted recall. Similarities of the best candidates are recomputed in double precision.
 
-Defined results: rows with null, empty, all-zero or non-finite vectors, or null ids, take no part; of copies of
-one vector beyond the k + 1 smallest ids, each has the neighbours of those kept (ties go to the smaller
+Defined results: rows with null, empty, all-zero or non-finite vectors, or null ids, take no part; of vectors of
+one direction (to six decimals) beyond the k + 1 smallest ids, each has the neighbours of those kept (ties go to the smaller
 id, so these are the same); vectors of another length than the most usual take no part; an empty table
 gives an empty result.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..session import workspace
 
-SPARE = 16  # candidates by single precision that are compared again in double precision
+SPARE = 16  # candidates by single precision that are compared again in double precision, at first
+CLOSE = 4e-6  # more than rounding to six decimals and errors of single precision can make up together
 
 
 def usable(vector: Column) -> Column:
@@ -239,26 +240,33 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
                     for i, order in enumerate(tree.visits(unit, visits)):
                         for at in order:
                             by_leaf.setdefault(at, []).append(i)
-                    best_s = np.full((len(ids), SPARE), -9.0, dtype=np.float32)
-                    best_i = np.full((len(ids), SPARE), -1, dtype=np.int64)
-                    best_at = np.zeros((len(ids), SPARE), dtype=np.int64)  # leaf and place in it
-                    for at, rows in by_leaf.items():
-                        other_ids, other, _ = load(at)
-                        for low in range(0, len(other_ids), 8192):
-                            part_ids = other_ids[low : low + 8192]
-                            score = unit[rows] @ other[low : low + 8192].T
-                            score[ids[rows][:, None] == part_ids[None, :]] = -9
-                            m = min(SPARE, score.shape[1])
-                            top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                            s = np.concatenate([best_s[rows], np.take_along_axis(score, top, axis=1)], axis=1)
-                            i = np.concatenate([best_i[rows], part_ids[top]], axis=1)
-                            w = np.concatenate([best_at[rows], (at << 40) + low + top], axis=1)
-                            pick = np.argpartition(-s, SPARE - 1, axis=1)[:, :SPARE]
-                            best_s[rows] = np.take_along_axis(s, pick, axis=1)
-                            best_i[rows] = np.take_along_axis(i, pick, axis=1)
-                            best_at[rows] = np.take_along_axis(w, pick, axis=1)
+                    spare = SPARE
+                    while True:
+                        best_s = np.full((len(ids), spare), -9.0, dtype=np.float32)
+                        best_i = np.full((len(ids), spare), -1, dtype=np.int64)
+                        best_at = np.zeros((len(ids), spare), dtype=np.int64)  # leaf and place in it
+                        for at, rows in by_leaf.items():
+                            other_ids, other, _ = load(at)
+                            for low in range(0, len(other_ids), 8192):
+                                part_ids = other_ids[low : low + 8192]
+                                score = unit[rows] @ other[low : low + 8192].T
+                                score[ids[rows][:, None] == part_ids[None, :]] = -9
+                                m = min(spare, score.shape[1])
+                                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                                s = np.concatenate([best_s[rows], np.take_along_axis(score, top, axis=1)], axis=1)
+                                i = np.concatenate([best_i[rows], part_ids[top]], axis=1)
+                                w = np.concatenate([best_at[rows], (at << 40) + low + top], axis=1)
+                                pick = np.argpartition(-s, spare - 1, axis=1)[:, :spare]
+                                best_s[rows] = np.take_along_axis(s, pick, axis=1)
+                                best_i[rows] = np.take_along_axis(i, pick, axis=1)
+                                best_at[rows] = np.take_along_axis(w, pick, axis=1)
+                        # Candidates that single precision cannot tell from the k-th must all be kept: where they may be more, again with more room.
+                        ordered = -np.sort(-best_s, axis=1)
+                        if not ((ordered[:, -1] > -8) & (ordered[:, min(k, spare) - 1] - ordered[:, -1] <= CLOSE)).any():
+                            break
+                        spare *= 4
                     own_exact = _double(raw)
-                    sims = np.full((len(ids), SPARE), -9.0)
+                    sims = np.full((len(ids), spare), -9.0)
                     known = best_s > -8
                     for at in np.unique(best_at[known] >> 40):
                         r, c = np.nonzero(known & (best_at >> 40 == at))
@@ -282,7 +290,10 @@ def nearest(
     ``probes`` sample rows that the visited leaves must hold, measured against exact search over all rows.
     """
     own = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    marks = own.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g"))
+    # Copies are vectors of one direction, whatever their length; adding zero makes both zeros one.
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    way = own.withColumn("_n", size).select("id", F.transform("v", lambda x: F.round(x.cast("double") / F.col("_n"), 6) + F.lit(0.0)).alias("w"))
+    marks = way.select("id", F.xxhash64("w").alias("h"), F.hash("w").alias("g"))
     # Only the k + 1 smallest ids of a vector's copies are searched; hot vectors are counted first, on hashes alone.
     hot = marks.groupBy("h", "g").count().where(F.col("count") > k + 1)
     spare = hot.agg(F.sum("count").alias("n")).first()["n"] or 0

@@ -140,6 +140,19 @@ def test_neighbours_brute_force(spark):
     assert {p for p in got if p[0] in hot and p[1] in hot} <= {p for p in want} and all(min(p) in first for p in got if p[0] in hot and p[1] in hot)
 
 
+def test_neighbours_of_one_direction(spark):
+    """Vectors of one direction and many lengths tie at 1.000000, far more of them than are compared at first: the smallest ids win."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 12)).astype(np.float32)
+    x[100:300] = x[7] * rng.uniform(0.3, 9, (200, 1)).astype(np.float32)
+    ids = rng.permutation(1000)[:400]
+    frame = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "article_id long, doc_embedding array<float>")
+    got = {tuple(r) for r in neighbours.nearest(frame, leaf_rows=64, recall=1.0).collect()}
+    hot = sorted([*ids[100:300], ids[7]])
+    for i in hot:
+        assert {b for a, b in got if a == i} == set([j for j in hot[:6] if j != i][:5])
+
+
 def test_neighbours_small(spark):
     empty = spark.createDataFrame([], "article_id long, doc_embedding array<float>")
     assert neighbours.nearest_pairs(empty).count() == 0
