@@ -13,6 +13,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import io
 from collections.abc import Iterator
@@ -146,6 +147,15 @@ def _double(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A hash of each vector's direction to six decimals: copies are vectors of one direction, whatever their length."""
+    for p in batches:
+        # Adding zero makes both zeros one.
+        ways = [np.round(v / np.linalg.norm(v), 6) + 0.0 for v in (np.asarray(x, dtype=np.float64) for x in p["v"])]
+        mark = np.frombuffer(b"".join(hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in ways), dtype=np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"id": p["id"].to_numpy(), "h": mark[:, 0], "g": mark[:, 1]})
+
+
 def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows: int, most_leaves: int, probes: int) -> DataFrame:
     """(id, other) for the k nearest of each row of ``vectors`` (id, v)."""
     spark = vectors.sparkSession
@@ -290,10 +300,7 @@ def nearest(
     ``probes`` sample rows that the visited leaves must hold, measured against exact search over all rows.
     """
     own = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    # Copies are vectors of one direction, whatever their length; adding zero makes both zeros one.
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    way = own.withColumn("_n", size).select("id", F.transform("v", lambda x: F.round(x.cast("double") / F.col("_n"), 6) + F.lit(0.0)).alias("w"))
-    marks = way.select("id", F.xxhash64("w").alias("h"), F.hash("w").alias("g"))
+    marks = own.mapInPandas(_marks, "id bigint, h bigint, g bigint")
     # Only the k + 1 smallest ids of a vector's copies are searched; hot vectors are counted first, on hashes alone.
     hot = marks.groupBy("h", "g").count().where(F.col("count") > k + 1)
     spare = hot.agg(F.sum("count").alias("n")).first()["n"] or 0
