@@ -37,3 +37,27 @@ def test_query_runs(spark, data, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def repeated(data, tmp_path_factory):
+    """The tables with articles that a run holds twice and three times, in other words and with other names."""
+    at = tmp_path_factory.mktemp("repeated")
+    for p in glob.glob(f"{data}/*.parquet"):
+        if not p.endswith("/preprocessed_articles.parquet"):
+            os.symlink(p, at / os.path.basename(p))
+    again = "title || ' at Nornalwick' as title, 'A storm shut Corulness. ' || coalesce(clean_body, '') as clean_body, list_concat(['the Zed Port'], coalesce(matched_entities, [])) as matched_entities"
+    c = duckdb.connect()
+    c.execute(f"create table p as select * from '{data}/preprocessed_articles.parquet'")
+    c.execute(f"insert into p select * replace ({again}) from p where article_id % 3 = 0")
+    c.execute("insert into p select * from p where article_id % 6 = 0")
+    c.execute(f"copy p to '{at}/preprocessed_articles.parquet' (format parquet)")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["corpus_records"])
+def test_repeated_articles_equal_sql(spark, repeated, name):
+    c = duckdb.connect()
+    for p in glob.glob(f"{repeated}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    assert rows(registry.QUERIES[name](spark, repeated).toPandas()) == rows(c.sql(registry.ORACLES[name]).df())
