@@ -46,7 +46,8 @@ def repeated(data, tmp_path_factory):
     for p in glob.glob(f"{data}/*.parquet"):
         if not p.endswith("/preprocessed_articles.parquet"):
             os.symlink(p, at / os.path.basename(p))
-    again = "title || ' at Nornalwick' as title, 'A storm shut Corulness. ' || coalesce(clean_body, '') as clean_body, list_concat(['the Zed Port'], coalesce(matched_entities, [])) as matched_entities"
+    # The further names come last, so that no two share a place.
+    again = "title || ' at Nalyalfield' as title, 'A storm shut roads. ' || coalesce(clean_body, '') as clean_body, list_concat(coalesce(matched_entities, []), ['the Zed Port']) as matched_entities"
     c = duckdb.connect()
     c.execute(f"create table p as select * from '{data}/preprocessed_articles.parquet'")
     c.execute(f"insert into p select * replace ({again}) from p where article_id % 3 = 0")
@@ -55,7 +56,7 @@ def repeated(data, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["corpus_records"])
+@pytest.mark.parametrize("name", ["corpus_records", "ner_fusion"])
 def test_repeated_articles_equal_sql(spark, repeated, name):
     c = duckdb.connect()
     for p in glob.glob(f"{repeated}/*.parquet"):
