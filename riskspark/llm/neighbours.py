@@ -169,12 +169,22 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     taken = vectors.where(part < int(share * (1 << 40) + 0.5)).toArrow().combine_chunks().sort_by("id")
     x = _unit(taken["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32))
+    ids_taken = taken["id"].to_numpy()
     tree = Tree.fit(x, max(1, min(most_leaves, n // leaf_rows, max(1, len(x) // 4))))
     del taken
     per_leaf = np.bincount(tree.leaf_of(x), minlength=len(tree.leaves)) * (n / len(x))
     blocks = np.maximum(1, np.ceil(per_leaf / (8 * leaf_rows))).astype(int)  # a hot leaf is split into blocks
+    # Probes are rows the tree was not fitted on, as leaves of few sample rows lie closer to those than to all others; only a sample of all rows holds its own probes.
     rng = np.random.default_rng(5)
-    queries = x[rng.choice(len(x), min(probes, len(x)), replace=False)]
+    if share < 1:
+        low, high = (int(s * (1 << 40) + 0.5) for s in (share, min(1.0, share + 2 * probes / n)))
+        apart = vectors.where((part >= low) & (part < high)).toArrow().combine_chunks().sort_by("id")
+        pool, pool_ids = _unit(apart["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)), apart["id"].to_numpy()
+    if share == 1 or not len(pool):
+        pool, pool_ids = x, ids_taken
+    chosen = rng.choice(len(pool), min(probes, len(pool)), replace=False)
+    queries, query_ids = pool[chosen], pool_ids[chosen]
+    del pool
     del x
     store = LeafStore(workspace(spark, "leaves"))
 
@@ -206,23 +216,26 @@ def _directed(vectors: DataFrame, k: int, recall: float, sample: int, leaf_rows:
     work = spark.createDataFrame([(i * slices // len(tasks), leaf, block) for i, (leaf, block) in enumerate(tasks)], "slice int, leaf int, block int").repartitionByRange(slices, "slice")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(queries), k + 1), -9.0, dtype=np.float32)
-        best_leaf = np.full((len(queries), k + 1), -1, dtype=np.int64)
+        best_s = np.full((len(queries), k), -9.0, dtype=np.float32)
+        best_leaf = np.full((len(queries), k), -1, dtype=np.int64)
         for p in batches:
             for leaf, block in zip(p["leaf"], p["block"]):
-                _, raw = store.read(leaf, block)
-                s = np.concatenate([best_s, queries @ _unit(raw).T], axis=1)
-                at = np.concatenate([best_leaf, np.full((len(queries), len(raw)), leaf)], axis=1)
-                top = np.argpartition(-s, k, axis=1)[:, : k + 1]
+                ids, raw = store.read(leaf, block)
+                score = queries @ _unit(raw).T
+                score[query_ids[:, None] == ids[None, :]] = -9  # a probe is no neighbour of its own
+                s = np.concatenate([best_s, score], axis=1)
+                at = np.concatenate([best_leaf, np.where(score > -8, leaf, -1)], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 best_s, best_leaf = np.take_along_axis(s, top, axis=1), np.take_along_axis(at, top, axis=1)
         found = best_leaf >= 0
         yield pd.DataFrame({"q": np.nonzero(found)[0], "leaf": best_leaf[found], "s": best_s[found].astype(np.float64)})
 
-    hits = work.mapInPandas(exact, "q int, leaf int, s double").toPandas()  # probes * (k + 1) rows a slice
-    hits = hits.sort_values(["q", "s"], ascending=[True, False]).groupby("q").head(k + 1)
+    hits = work.mapInPandas(exact, "q int, leaf int, s double").toPandas()  # probes * k rows a slice
+    hits = hits.sort_values(["q", "s"], ascending=[True, False]).groupby("q").head(k)
     ranks = {q: {leaf: i for i, leaf in enumerate(v)} for q, v in enumerate(tree.visits(queries, len(tree.leaves)))}
     needed = np.sort([ranks[q][leaf] for q, leaf in zip(hits["q"], hits["leaf"])])
-    visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+    sure = recall + 2 * (recall * (1 - recall) / max(1, len(needed))) ** 0.5  # by two standard errors, as the probes are few
+    visits = int(needed[min(len(needed) - 1, int(np.ceil(sure * len(needed))))]) + 1 if len(needed) else 1
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -297,7 +310,7 @@ def nearest(
     """(id, other): the ``k`` rows most similar to each row by cosine, rounded to six decimals, ties to the smaller id.
 
     ``sample``: rows the tree is fitted on, by a hash of the id. ``recall``: share of the true neighbours of
-    ``probes`` sample rows that the visited leaves must hold, measured against exact search over all rows.
+    ``probes`` rows outside the sample that the visited leaves must hold beyond chance, measured against exact search over all rows.
     """
     own = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     marks = own.mapInPandas(_marks, "id bigint, h bigint, g bigint")

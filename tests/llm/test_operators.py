@@ -425,3 +425,17 @@ def test_length_and_ending_both_decide(spark):
     mid = {i for i in range(0, 1500, 50) if truncation.ending(moved[i][3]) == "open"}
     got = {r.article_id for r in truncation.truncated(spark.createDataFrame(moved, schema)).collect()}
     assert len(got & mid) >= 0.95 * len(mid) and len(got & cut) >= 0.99 * len(cut) and not got - cut - mid
+
+
+def test_visits_hold_for_rows_outside_the_sample(spark):
+    """With a few sample rows a leaf, as in large tables, leaves lie closer to these rows than to all others."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(60, 32))
+    x = (centre[rng.integers(0, 60, 6000)] + 0.7 * rng.normal(size=(6000, 32))).astype(np.float32)
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "article_id bigint, doc_embedding array<float>")
+    got = set(map(tuple, neighbours.nearest(rows, sample=400, leaf_rows=60).toPandas().to_numpy().tolist()))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -9)
+    best = np.argsort(-score, axis=1)[:, :5]
+    assert np.mean([(i, j) in got for i in range(len(x)) for j in best[i].tolist()]) >= 0.985
