@@ -439,3 +439,16 @@ def test_visits_hold_for_rows_outside_the_sample(spark):
     np.fill_diagonal(score, -9)
     best = np.argsort(-score, axis=1)[:, :5]
     assert np.mean([(i, j) in got for i in range(len(x)) for j in best[i].tolist()]) >= 0.985
+
+
+def test_words_of_headlines_are_hashed_once(monkeypatch):
+    import itertools
+
+    import pandas as pd
+
+    calls, plain = [], history._hash
+    monkeypatch.setattr(history, "_hash", lambda text: calls.append(text) or plain(text))
+    texts = [" ".join(p) for p in itertools.islice(itertools.permutations("harbor strike shuts wheat terminal".split()), 100)]
+    got = pd.concat(history._keys([pd.DataFrame({"key": range(100), "words": texts, "cut": False})]))
+    assert len(got[got["role"] == history.BAND]) == 1600 and got["key"].dtype == "int64"
+    assert len(calls) < 100 * 5  # a prefix and the numbers of each, and each word and pair of words once
