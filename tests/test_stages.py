@@ -1,15 +1,19 @@
 """Hooks, fetch stages, and large groups against small ones."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark.operators import graph as G
 from riskspark.operators import resolve as V
 from riskspark.operators import stages as ST
 from riskspark.operators import summaries as S
 from riskspark.operators import topics as TP
 from riskspark.operators import vectors as X
 from riskspark.plans import sample_dims as D
+from riskspark.session import materialize
 from riskspark.sources import fetch as FE
 
 PROFILE = "client_id string, tier1_suppliers array<struct<name:string,material:string,location:string,country:string,city:string>>, raw_materials array<struct<commodity:string,region:string>>, logistics_nodes array<struct<name:string,type:string,carrier:string>>, own_facilities array<struct<name:string,location:string>>"
@@ -38,6 +42,45 @@ def test_pairs_meet_around_pivots(spark, threshold):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_pairs_without_clusters_are_not_copied_into_all_cells(spark, monkeypatch):
+    """Where cells overlap all rows meet in packed blocks: what is written stays below the rows there are, and the pairs are all there."""
+    x = np.random.default_rng(4).standard_normal((900, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    written = []
+    monkeypatch.setattr(X, "materialize", lambda df, name, path=None: written.append(materialize(df, name, path)) or written[-1])
+    got = X.similarity_pairs(rows, 0.75, pivots=30, block_rows=50).collect()
+    s = x.astype(float) @ x.astype(float).T
+    assert {(r.a, r.b) for r in got} == {(i, j) for i, j in zip(*np.nonzero(s >= 0.75 - 1e-12)) if i < j} and len(got) == len({(r.a, r.b) for r in got})
+    assert np.allclose([r.sim for r in got], [s[r.a, r.b] for r in got]) and sum(w.count() for w in written) < 900
+
+
+def test_clusters_make_the_pairs_once(spark):
+    """Pairs that are costly to make are made once, however often the clusters read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            made.add(len(part))
+            yield part
+
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (5, 6)], "a long, b long").mapInPandas(count, "a long, b long")
+    got = {r.vec_id: r.cluster_id for r in G.density_clusters(spark.range(8).withColumnRenamed("id", "vec_id"), pairs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 5: 1, 6: 1, 3: 2, 4: 3, 7: 4} and made.value == 3
+
+
+def test_centrality_of_many_sentences_in_little_memory():
+    """As by whole matrices, of which only one of all pairs is held."""
+    rng = np.random.default_rng(5)
+    words = [a + b + c for a in "bdfgl" for b in "aeiou" for c in "mnrst"]
+    texts = [" ".join(["the port", *rng.choice(words, 12)]) if i % 97 else "1 2" for i in range(1500)]
+    want = S.lexrank_scores(S._weights(texts).astype(np.float32))
+    tracemalloc.start()
+    got = S._many_scores(S._many_cosines(texts))
+    assert np.abs(got - want).max() < 1e-9 and tracemalloc.get_traced_memory()[1] < 24 * 1500**2
+    tracemalloc.stop()
+
+
 def test_long_chain_of_near_duplicates(spark):
     """A chain that a few rounds leave undecided is decided or raises, and never comes out as kept."""
     items = spark.createDataFrame([(i, 10 - i) for i in range(9)], "vec_id long, priority int")
