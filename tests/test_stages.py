@@ -165,3 +165,10 @@ def test_fetch_from_files(spark, tmp_path):
 def test_no_names_at_all(spark):
     hits = V.name_hits(spark.createDataFrame([(1, "a", "b")], "article_id long, clean_title string, clean_body string"), spark.createDataFrame([], "client_id string, node_type string, node string, pos int, names array<string>"), spark.createDataFrame([], "client_id string, kind string, name string"), keys=["article_id"])
     assert hits.count() == 0
+
+
+def test_scores_do_not_hold_the_plan_of_the_exposure(spark, data):
+    """The exposure is resolved once, not within the plan over the articles, which a driver must hold."""
+    articles, profiles = spark.read.parquet(f"{data}/preprocessed_articles.parquet"), spark.read.parquet(f"{data}/client_profiles.parquet")
+    scored = V.score_for_clients(articles.dropDuplicates(["article_id"]), profiles, D.tables(spark), keys=["article_id"])
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
