@@ -172,3 +172,27 @@ def test_scores_do_not_hold_the_plan_of_the_exposure(spark, data):
     articles, profiles = spark.read.parquet(f"{data}/preprocessed_articles.parquet"), spark.read.parquet(f"{data}/client_profiles.parquet")
     scored = V.score_for_clients(articles.dropDuplicates(["article_id"]), profiles, D.tables(spark), keys=["article_id"])
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
+def test_portfolio_without_summaries_and_topics(spark, data, monkeypatch):
+    """The portfolio rests on scores of events alone; summaries, topics and vectors of sentences are made when they are asked for, to the same scores."""
+    from riskspark.operators.analyze import analyze
+    from riskspark.plans import q_stages
+
+    articles = spark.read.parquet(f"{data}/preprocessed_articles.parquet").select("article_id", "title", F.col("clean_body").alias("summary"), "url", F.col("fetched_at").cast("timestamp").alias("published_ts"), "source", "country", "trust_score")
+
+    def unasked(*args, **options):
+        raise AssertionError("not needed for the portfolio")
+
+    with monkeypatch.context() as m:
+        for where, name in ((S, "lexrank"), (S, "lexrank_documents"), (TP, "spherical_kmeans"), (ST, "with_core")):
+            m.setattr(where, name, unasked)
+        got = analyze(articles, spark.read.parquet(f"{data}/client_profiles.parquet"), D.tables(spark), q_stages._centroids(spark), "2025-06-01 00:00:00", dim=64, alike=0.4)
+        portfolio = {r.client_id: r for r in got.portfolio.collect()}
+        assert len(portfolio) == 8 and any(r.clusters > 0 for r in portfolio.values())
+    events = [r for r in got.clusters.collect() if not r.is_noise]
+    weight = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
+    for client, r in portfolio.items():
+        own = [(weight[e.severity], e.composite) for e in events if e.client_id == client]
+        assert len(own) == r.clusters and abs(sum(w * c for w, c in own) / max(1, sum(w for w, _ in own)) - r.overall_score) <= 0.051
+    assert got.articles.count() == got.clusters.agg(F.sum("article_count")).first()[0] and got.topics.count() >= 1 and got.encoded.where("core_paragraph_idx is not null").count() == got.encoded.count()
