@@ -387,6 +387,18 @@ def test_spam_with_few_known_pairs(spark, data):
     assert len(want) > 40 and len(want ^ few) <= 0.15 * len(want) and len(want ^ {i for i in more if i < 1_000_000}) <= 0.15 * len(want)
 
 
+def test_spam_counts_are_whole(spark, data):
+    """What a text is judged by is the same whether all counts are broadcast or most are asked for; copies and texts without words too."""
+    documents = read(spark, data, "documents").select("doc_id", "text")
+    rows = documents.unionByName(documents.limit(20).select((F.col("doc_id") + 700_000).alias("doc_id"), "text")).unionByName(spark.createDataFrame(ODD_PAGES, "doc_id long, text string"))
+    whole = {r.doc_id: r for r in spam.text_stats(rows, most_pairs=1 << 40).collect()}
+    for few in (1 << 10, 1):
+        got = {r.doc_id: r for r in spam.text_stats(rows, most_pairs=few).collect()}
+        assert got.keys() == whole.keys()
+        for i, r in whole.items():
+            assert np.allclose(tuple(r), tuple(got[i]), rtol=0, atol=1e-9)
+
+
 def closing_corpus(odd_close):
     """Texts of two sources: one cuts at 400 letters, and whole texts of both may end in a word, not in a stop."""
     rng = np.random.default_rng(6)
