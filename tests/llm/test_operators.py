@@ -228,6 +228,20 @@ def test_history_copies_and_long_titles(spark):
     assert sorted((r[0], r[1]) for r in got) == [(0, i) for i in range(1, 300)]
 
 
+def test_history_adds_with_few_jobs(spark, tmp_path):
+    """Each job leaves plans, threads and broadcast tables with the driver; an add made some 30, which took it beyond its memory after some rounds of 21 batches."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3)) * 3
+    rows = [(i, i % 3, f"{word(i % 40)} cuts {word(i % 40 + 100)} exports after a fire near {word(i % 40 + 200)}", f"https://a.example/{i % 90}", "A") for i in range(120)]
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    at, took = history.History(spark, f"file://{tmp_path}/few"), []
+    for n in range(3):
+        began = jobs()
+        at.add(records(spark, rows).where(F.col("batch_id") == n))
+        took.append(jobs() - began)
+    assert max(took) <= 18
+    assert {tuple(r) for r in at.reports().collect()} == {(i % 10, i) for i in range(10, 120)}
+
+
 def test_headline_pairs():
     h = lambda t: headlines.headline(t, "A")[0]
     assert headlines.same_headline(h("X Foods reopens wheat loading at Y"), h("X Foods restarts wheat laoding at Y"))
